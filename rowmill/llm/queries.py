@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmill.llm import exact_dedup, packing
+from rowmill.llm import bpe, exact_dedup, ngram_join, packing, secrets
 from rowmill.llm.common import table
 
 
@@ -19,9 +19,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocab=public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_secrets": op4_secrets,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
