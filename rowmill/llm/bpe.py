@@ -45,9 +45,9 @@ class ForcedBoundaryBpe:
         self.joined, self.joined_last = inner, last if self.suffix else inner
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self._added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self._fragments = Recent(self._merge, 50_000)
-        self._tokens = Recent(self._token, 150_000)
-        self._chunks = Recent(self._chunk, 200_000)
+        self._fragments = Recent(self._merge, 20_000)
+        self._tokens = Recent(self._token, 90_000)
+        self._chunks = Recent(self._chunk, 120_000)
 
     def cuts(self, symbols: str) -> list[str]:
         """A pre-token's fragments; the suffix that ends words goes with the last symbol of the last one."""

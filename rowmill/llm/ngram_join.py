@@ -39,7 +39,7 @@ def _word(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_words = Recent(_word, most=300_000)
+_words = Recent(_word, most=150_000)
 
 
 def grams(text: str | None, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 END = "<|endoftext|>"
 _CUT = re.compile(r" (?=\S)")
@@ -22,7 +22,7 @@ def byte_alphabet() -> dict[str, int]:
 class Recent(dict):
     """A bounded memo: two generations, of which the older goes when the younger is full."""
 
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
+    def __init__(self, make, most: int = 120_000, longest: int = 64):
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
@@ -47,16 +47,23 @@ class ByteTokens:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path = path
         vocab, alphabet = json.load(open(path, encoding="utf-8"))["model"]["vocab"], byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._fast = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self._bare, self._spaced = Recent(self._one, 20_000), Recent(lambda chunk: self._one(" " + chunk))
+        self._bare, self._spaced = Recent(self._one, 10_000), Recent(lambda chunk: self._one(" " + chunk))
+
+    @cached_property
+    def exact(self):
+        """The library's own tokenizer, which is loaded only for texts that hold an added token."""
+        from tokenizers import Tokenizer
+
+        exact = Tokenizer.from_file(self.path)
+        exact.no_truncation()
+        exact.no_padding()
+        return exact
 
     def _one(self, chunk: str) -> bytes:
         ids = self.exact.encode(chunk, add_special_tokens=False).ids if END in chunk else self._fast(chunk)
