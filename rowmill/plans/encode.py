@@ -99,7 +99,7 @@ def encoder(schema: Schema, names: dict[str, Schema], path: str = "$", seen: dic
 
         def enc(out, v):
             try:
-                u = v if isinstance(v, uuid.UUID) else uuid.UUID(bytes=bytes(v)) if isinstance(v, (bytes, bytearray)) else uuid.UUID(v)
+                u = v if isinstance(v, uuid.UUID) else uuid.UUID(bytes=bytes(v)) if isinstance(v, (bytes, bytearray)) and len(v) == 16 else uuid.UUID(v.decode() if isinstance(v, bytes) else v)
             except (ValueError, AttributeError, TypeError):
                 _fail(path, v, "uuid")
             if kind == "fixed":
@@ -132,6 +132,8 @@ def encoder(schema: Schema, names: dict[str, Schema], path: str = "$", seen: dic
         place = {s: k for k, s in enumerate(schema.symbols)}
 
         def enc(out, v):
+            if isinstance(v, bytes):
+                v = v.decode("utf-8", "replace")
             if v not in place:
                 raise AvroError(f"{path}: {v!r} is no symbol of {schema.full_name}", "precondition")
             write_long(out, place[v])

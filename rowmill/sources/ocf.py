@@ -2,7 +2,8 @@
 
 Options of a read: path; readerSchema (JSON: resolve to it), or projection (JSON) or columns (comma-separated dotted
 paths) to decode only those fields; splitBytes; maxBlockBytes, maxExpandedBytes; batchRows; pushdown ("true" tests flat
-predicates before rows reach the JVM); maxFilesPerTrigger for streams. A projection is an explicit option because Spark
+predicates before rows reach the JVM); maxFilesPerTrigger for streams (not with the availableNow trigger, which asks a
+source only once how far it goes). A projection is an explicit option because Spark
 tells a Python source neither the columns nor the fields that a query needs.
 
 Files are cut into byte ranges. A task looks for the sync marker in its range and takes the blocks that begin there, so
@@ -257,7 +258,7 @@ class Written(ds.WriterCommitMessage):
 class OcfWriter(ds.DataSourceArrowWriter):
     """Each task writes a hidden file; the commit renames them all, and an abort removes them, so that a retried task leaves no rows twice."""
 
-    def __init__(self, raw: dict, schema: T.StructType, overwrite: bool):
+    def __init__(self, raw, schema: T.StructType, overwrite: bool):
         self.path, self.overwrite = raw["path"], overwrite
         self.codec = check_codec(raw.get("codec", "deflate"))
         self.schema = raw.get("avroSchema") or avro_schema(schema, raw.get("recordName", "topLevelRecord"), raw.get("recordNamespace", "")).to_json()
@@ -326,7 +327,7 @@ class OcfDataSource(ds.DataSource):
         return OcfStreamReader(Options.of(self.options), int(self.options.get("maxFilesPerTrigger", 0)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ds.DataSourceArrowWriter:
-        return OcfWriter(dict(self.options), schema, overwrite)
+        return OcfWriter(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

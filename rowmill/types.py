@@ -128,6 +128,17 @@ def facts(schema: Schema, names: dict[str, Schema]) -> dict:
     return out
 
 
+def bare(kind: T.DataType) -> T.DataType:
+    """The type without metadata, as results of Python functions must have it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, bare(f.dataType), f.nullable) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(bare(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, bare(kind.valueType), kind.valueContainsNull)
+    return kind
+
+
 def struct_of(schema: Schema) -> T.StructType:
     """Columns of a file: a record's fields, or one column named value."""
     top = schema.resolved(schema.names)
