@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.errors import AvroError
 
@@ -53,8 +57,6 @@ def create_decimal(unscaled: bytes, precision: int, scale: int) -> Column:
 
 
 def create_uuid(data: bytes | str) -> Column:
-    import uuid
-
     try:
         return F.lit(str(uuid.UUID(bytes=data) if isinstance(data, bytes) else uuid.UUID(data)))
     except ValueError:
@@ -66,7 +68,7 @@ def create_date(days: Column) -> Column:
 
 
 def create_time(number: Column, unit: str = "micros") -> Column:
-    """A time of day from milliseconds or microseconds after midnight."""
+    """A time of day from milliseconds or microseconds after midnight; sessions have expressions on times with spark.sql.timeType.enabled."""
     micros = number.cast("bigint") * (1000 if unit == "millis" else 1)
     text = F.concat_ws(":", *(F.lpad(F.floor(micros / d % m).cast("string"), 2, "0") for d, m in ((3_600_000_000, 24), (60_000_000, 60))), F.format_string("%09.6f", (micros % 60_000_000) / 1e6))
     return text.cast(f"time({3 if unit == 'millis' else 6})")
@@ -104,9 +106,6 @@ def union_value(col: Column, branch: int) -> Column:
 
 def decimal_bytes(col: Column, scale: int) -> Column:
     """Unscaled number of a decimal, big-endian two's complement in as few bytes as hold it."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     def run(values: pa.Array) -> pa.Array:
         numbers = [None if v is None else int(v.scaleb(scale)) for v in values.to_pylist()]
         return pa.array([None if n is None else n.to_bytes(n.bit_length() // 8 + 1, "big", signed=True) for n in numbers], pa.binary())

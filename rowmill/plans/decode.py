@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from rowmill.errors import AvroError
-from rowmill.plans.wire import MAX_ITEMS, read_bytes, read_long
+from rowmill.plans.wire import MAX_ITEMS, read_bytes, read_long, skip_numbers
 from rowmill.schema import PROMOTIONS, Schema, can_read
 from rowmill.types import arrow_type, is_recursive, nullable_of
 
@@ -160,7 +160,7 @@ class Compiler:
         self.writer, self.wanted = writer, wanted
         self.lines: list[str] = []
         self.slots = self.vars = 0
-        self.env: dict[str, Any] = {"read_long": read_long, "AvroError": AvroError, "unpack_f": struct.Struct("<f").unpack_from, "unpack_d": struct.Struct("<d").unpack_from, "uuid_text": _uuid, "dec": Decimal}
+        self.env: dict[str, Any] = {"read_long": read_long, "skip_numbers": skip_numbers, "AvroError": AvroError, "unpack_f": struct.Struct("<f").unpack_from, "unpack_d": struct.Struct("<d").unpack_from, "uuid_text": _uuid, "dec": Decimal}
         self.used: set[int] = set()
 
     # columns
@@ -270,15 +270,29 @@ class Compiler:
             self.put(d + 1, f"if {n} == 0: break", f"if {n} < 0:")
             self.length(d + 2)
             self.put(d + 2, "pos = end", "continue")
-            self.put(d + 1, f"if {n} > {MAX_ITEMS}: raise AvroError(f'{{{n}}} items are too many')", f"for {k} in range({n}):")
-            if self.width(w) == 0:
-                self.put(d + 2, "break")
+            self.put(d + 1, f"if {n} > {MAX_ITEMS}: raise AvroError(f'{{{n}}} items are too many')")
+            numbers = self.numbers(w.items) if kind == "array" else None
+            if numbers:
+                self.put(d + 1, f"pos = skip_numbers(buf, pos, {n} * {numbers})")
+            elif self.width(w) == 0:
+                self.put(d + 1, "pass")
             else:
+                self.put(d + 1, f"for {k} in range({n}):")
                 if kind == "map":
                     self.length(d + 2)
                     self.put(d + 2, "pos = end")
                 self.skip(d + 2, w.items)
 
+    def numbers(self, w: Schema) -> int | None:
+        """How many numbers a value is, if it is nothing else."""
+        w = w.resolved(self.writer.names)
+        if w.kind in ("int", "long", "enum"):
+            return 1
+        if w.kind == "record" and not is_recursive(w, self.writer.names):
+            parts = [self.numbers(f.schema) for f in w.fields]
+            return sum(parts) if parts and None not in parts else None
+        return None
+
     def width(self, w: Schema) -> int:
         """0 if the items of an array take no bytes."""
         if w.kind == "map":

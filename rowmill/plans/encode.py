@@ -16,6 +16,8 @@ from rowmill.schema import Schema
 from rowmill.types import nullable_of
 
 Encode = Callable[[bytearray, Any], None]
+#: Arrays and maps of more items than this are written with their size in bytes, so that a projection steps over them in one jump.
+SIZED_FROM = 3
 _EPOCH = dt.datetime(1970, 1, 1)
 _DAY = dt.date(1970, 1, 1)
 
@@ -143,7 +145,13 @@ def encoder(schema: Schema, names: dict[str, Schema], path: str = "$", seen: dic
         def enc(out, v):
             if not isinstance(v, (list, tuple)):
                 _fail(path, v, "array")
-            if v:
+            if len(v) > SIZED_FROM:
+                block = bytearray()
+                for x in v:
+                    item(block, x)
+                write_long(out, -len(v))
+                write_bytes(out, block)
+            elif v:
                 write_long(out, len(v))
                 for x in v:
                     item(out, x)
@@ -158,10 +166,16 @@ def encoder(schema: Schema, names: dict[str, Schema], path: str = "$", seen: dic
             if len({k for k, _ in pairs}) < len(pairs):
                 raise AvroError(f"{path}: a map has a key twice")
             if pairs:
-                write_long(out, len(pairs))
+                block = bytearray()
                 for k, x in sorted(pairs, key=lambda p: p[0]):  # sorted, so that equal maps are equal bytes
-                    write_bytes(out, k.encode())
-                    item(out, x)
+                    write_bytes(block, k.encode())
+                    item(block, x)
+                if len(pairs) > SIZED_FROM:
+                    write_long(out, -len(pairs))
+                    write_long(out, len(block))
+                else:
+                    write_long(out, len(pairs))
+                out += block
             out.append(0)
     elif kind == "union":
         members = [encoder(b, names, f"{path}<{k}>", seen) for k, b in enumerate(schema.branches)]

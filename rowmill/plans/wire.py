@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from rowmill.errors import AvroError
 
 #: Most items of one array or map, on read.
@@ -27,6 +30,22 @@ def read_long(buf: bytes, pos: int) -> tuple[int, int]:
     return (n >> 1) ^ -(n & 1), pos
 
 
+@lru_cache(maxsize=4096)
+def _numbers(count: int):
+    return re.compile(b"(?:[\x80-\xff]{0,9}+[\x00-\x7f]){%d}" % count, re.S).match
+
+
+def skip_numbers(buf: bytes, pos: int, count: int) -> int:
+    """Step over so many numbers, by one match of a pattern for each 4096 of them."""
+    while count:
+        part = count if count < 4096 else 4096
+        m = _numbers(part)(buf, pos)
+        if m is None:
+            raise AvroError(f"the data ends within a number after offset {pos}", "range")
+        pos, count = m.end(), count - part
+    return pos
+
+
 def write_long(out: bytearray, n: int) -> None:
     n = (n << 1) ^ (n >> 63)
     while n > 0x7F:

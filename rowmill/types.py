@@ -28,7 +28,7 @@ _SPARK = {
     "big-decimal": T.BinaryType(),
     "uuid": T.StringType(),
     "date": T.DateType(),
-    "time-millis": T.TimeType(3),
+    "time-millis": T.TimeType(6),  # Arrow knows no coarser one
     "time-micros": T.TimeType(6),
     "timestamp-millis": T.TimestampType(),
     "timestamp-micros": T.TimestampType(),
