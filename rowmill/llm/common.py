@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: str | None = None
+from rowmill.sources.scratch import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; in a local session without one, a temporary folder."""
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="rowmill-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return f"file://{_local_dir}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs one stage, not the whole job."""
-    path = f"{shared_dir(df.sparkSession)}/rowmill-{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -221,3 +221,20 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, that with the smallest id; rows with a null id stay."""
     gone = similar_documents(docs).where("doc_id is not null and doc_id != class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+#: The exact join, for small tables: all links, where banding may miss one in some hundreds at the very threshold.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM w),
+s AS (SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS k FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS copy_of, count(*) OVER (PARTITION BY k) AS n_copies FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN s a ON x = a.doc_id JOIN s b ON y = b.doc_id WHERE p.n >= 0.8 * (a.n + b.n - p.n) - 1e-9),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.at = e.a)
+SELECT d.doc_id, (SELECT min(r.at) FROM r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links,
+       coalesce(c.copy_of, d.doc_id) AS copy_of, coalesce(c.n_copies, 1) AS n_copies
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id
+"""

@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_ngram_join": ngram_join.ORACLE}
