@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize
 from rowmill.llm.tokens import Recent
 
-BLOCK_ROWS, BLOCK_GRAMS = 2048, 2_000_000
+#: Most classes and n-grams of a block, and blocks that a component of at least SPREAD_ROWS classes for each is spread over anyway.
+BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 2_000_000, 16, 256
 
 
 def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -158,8 +159,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     2. Band hashes with two classes or more tie each class to the smallest in its bucket: rows in proportion
        to the memberships, however full a bucket is. Their components hold all candidate pairs.
     3. Only classes in such components get their full sets, once, dealt by component; a component of more than
-       2048 classes or two million n-grams is split into blocks, and tasks verify one block or one pair of
-       blocks. All pairs of a component are verified in memory by matrix products; only counts and a spanning forest
+       256 classes or two million n-grams is split into blocks (of 2048 at most), and tasks verify one block or one
+       pair of blocks. All pairs of a component are verified in memory by matrix products; only counts and a spanning forest
        come out, never pairs.
     4. Components of the verified forest are the classes' ids.
 
@@ -198,7 +199,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     candidate = classes.select("rep", "lo", "hi", "copies", "n").join(candidate.withColumnRenamed("node", "rep"), "rep")
     candidate = materialize(candidate, "candidates")
-    blocks = candidate.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("nb"), F.count("*").alias("m"))
+    blocks = candidate.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.least(F.ceil(F.count("*") / SPREAD_ROWS), F.lit(SPREAD))).alias("nb"), F.count("*").alias("m"))
     blocked = join_hot(candidate, blocks, ["component"], "m", total).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb")).drop("m", "n")
     sets = source.where("id is not null").join(blocked.withColumnRenamed("rep", "id"), "id").withColumn("rep", F.col("id"))
     sets = sets.mapInArrow(full, "rep long, copies long, component long, blk long, nb long, grams array<long>")

@@ -203,6 +203,7 @@ def near_copies(seed=1, groups=25, size=12):
 def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
     """Also with blocks so small that groups are split over pairs of blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ngram_join, "SPREAD_ROWS", block)
     texts = near_copies()
     links, component = brute_similar(texts)
     rows = ngram_join.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
