@@ -7,7 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any, BinaryIO
 
+import pyarrow as pa
+
 from rowmill.errors import AvroError
+from rowmill.plans.columns import ColumnEncoder
 from rowmill.plans.decode import Decoder, read_value
 from rowmill.plans.encode import encoder
 from rowmill.plans.wire import read_long, write_bytes, write_long
@@ -288,6 +291,7 @@ class Writer:
         self._encode = encoder(schema, schema.names)
         self._rows, self._block, self._block_rows, self._block_bytes = 0, bytearray(), block_rows, block_bytes
         self._finished = self._failed = False
+        self._columns: tuple[pa.Schema, ColumnEncoder] | None = None
         self._out = bytearray(MAGIC)
         meta = {"avro.schema": schema.to_json().encode(), "avro.codec": codec.encode(), **(metadata or {})}
         write_long(self._out, len(meta))
@@ -314,6 +318,26 @@ class Writer:
         if self._rows >= self._block_rows or len(self._block) >= self._block_bytes:
             self._flush()
 
+    def append_batch(self, batch: pa.RecordBatch) -> None:
+        """All rows of an Arrow batch with the record's fields as columns. A value that does not fit ends the writer."""
+        if self._finished or self._failed:
+            raise AvroError("the writer has ended", "precondition")
+        if self._columns is None or self._columns[0] != batch.schema:
+            self._columns = (batch.schema, ColumnEncoder(self.schema, batch.schema))
+        enc = self._columns[1]
+        columns = enc.columns(batch)
+        step = min(256, self._block_rows)
+        try:
+            for at in range(0, batch.num_rows, step):
+                rows = min(step, batch.num_rows - at)
+                enc.encode(columns, at, rows, self._block)
+                self._rows += rows
+                if self._rows + step > self._block_rows or len(self._block) >= self._block_bytes:
+                    self._flush()
+        except Exception:
+            self._failed = True
+            raise
+
     def _flush(self) -> None:
         if not self._rows:
             return

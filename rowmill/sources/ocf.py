@@ -277,8 +277,7 @@ class OcfWriter(ds.DataSourceArrowWriter):
         writer, rows = Writer(Schema.parse(self.schema), self.codec, self.marker, self.block_rows, self.block_bytes), 0
         with system.open_output_stream(temporary) as out:
             for batch in iterator:
-                for row in _plain(batch).to_pylist():
-                    writer.append(row)
+                writer.append_batch(batch)
                 rows += batch.num_rows
                 out.write(writer.take_bytes())
             out.write(writer.finish())
@@ -304,12 +303,6 @@ class OcfWriter(ds.DataSourceArrowWriter):
                 system.delete_file(m.temporary)
 
 
-def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Strings as their bytes, which may be no UTF-8."""
-    columns = [c.view(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
-    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-
 class OcfDataSource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
