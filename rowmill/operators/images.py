@@ -1,4 +1,4 @@
-"""Image files as rows: metadata of seven formats, samples of PNG and BMP.
+"""Image files as rows: metadata of seven formats, samples of PNG, BMP, GIF and TIFF, frames of GIF.
 
 Samples of other formats need decoders that are not at hand; for them `decode` fails and `info` still works.
 """
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowmill.errors import AvroError
+from rowmill.operators.rasters import gif_frames, tiff
 
 FORMATS = ("png", "jpeg", "gif", "webp", "tiff", "bmp", "ico")
 COLORS = {1: "L", 2: "La", 3: "Rgb", 4: "Rgba"}
@@ -320,17 +321,33 @@ def blend(samples: np.ndarray, background_8: tuple[int, ...], background_16: tup
 
 
 def decode(data: bytes, *, force: str | None = None, limit: int = 512 << 20, background_8: tuple[int, ...] | None = None, background_16: tuple[int, ...] | None = None) -> np.ndarray:
-    """Samples as rows x columns x channels, 8-bit or 16-bit as the file has them."""
+    """Samples as rows x columns x channels, 8-bit, 16-bit or float as the file has them; of a GIF the first frame."""
     kind = force or sniff(data)
-    if kind not in ("png", "bmp"):
+    if kind not in _DECODE:
         raise AvroError(f"samples of {kind} are not decoded")
     try:
-        out = (_png if kind == "png" else _bmp)(data, limit)
+        out = _DECODE[kind](data, limit)
     except (struct.error, ValueError) as e:
         raise AvroError(f"bad {kind} image: {e}") from None
     return blend(out, background_8 or (0, 0, 0, 0), background_16 or (0, 0, 0, 0)) if background_8 or background_16 else out
 
 
+def _first_frame(data: bytes, limit: int) -> np.ndarray:
+    for frame, _ in gif_frames(data, limit):
+        return frame
+    raise AvroError("a gif without frames", "range")
+
+
+_DECODE = {"png": _png, "bmp": _bmp, "gif": _first_frame, "tiff": tiff}
+
+
+def frames(data: bytes, *, limit: int = 512 << 20) -> list[tuple[np.ndarray, int]]:
+    """(samples, delay in milliseconds) of all frames of an animated GIF."""
+    if not info(data)["is_animated"] or sniff(data) != "gif":
+        raise AvroError("the image is not animated, or not in a format whose frames are decoded", "precondition")
+    return list(gif_frames(data, limit))
+
+
 def encode_png(samples: np.ndarray, text: list[tuple[str, str]] = ()) -> bytes:
     """A PNG of samples, for fixtures and exports."""
     color = {1: 0, 2: 4, 3: 2, 4: 6}[samples.shape[2]]
@@ -368,7 +385,10 @@ def image_info(images: DataFrame, key: str, content: str = "content") -> DataFra
 
 
 def image_samples(images: DataFrame, key: str, content: str = "content", **options: object) -> DataFrame:
-    """key, width, height, channels, bits, strides and samples (rows, columns, channels in order) of PNG and BMP images."""
+    """key, width, height, channels, bits, strides and samples (rows, columns, channels in order) of images whose format is decoded, as numbers.
+
+    Nulls are left out; an image that cannot be decoded fails the query.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,8 +401,26 @@ def image_samples(images: DataFrame, key: str, content: str = "content", **optio
                 one = lambda v, t: pa.array([v], t)
                 stride = [{"width": c, "height": w * c, "channels": 1}]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 1), one(w, pa.int64()), one(h, pa.int64()), one(c, pa.int32()), one(s.dtype.itemsize * 8, pa.int32()), pa.array(stride, pa.struct([(n, pa.int64()) for n in ("width", "height", "channels")])), one(s.ravel().tolist(), pa.list_(pa.int32()))],
+                    [batch.column(0).slice(at, 1), one(w, pa.int64()), one(h, pa.int64()), one(c, pa.int32()), one(s.dtype.itemsize * 8, pa.int32()), pa.array(stride, pa.struct([(n, pa.int64()) for n in ("width", "height", "channels")])), one(s.ravel().tolist(), pa.list_(pa.float64()))],
                     names=[key, "width", "height", "channels", "bits", "strides", "samples"],
                 )
 
-    return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, width long, height long, channels int, bits int, strides struct<width:long,height:long,channels:long>, samples array<int>")
+    return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, width long, height long, channels int, bits int, strides struct<width:long,height:long,channels:long>, samples array<double>")
+
+
+def image_frames(images: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """key, frame number, delay in milliseconds, width, height and RGBA samples of every frame of animated images; others give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                data = batch.column(1)[at].as_py()
+                if data is None or sniff(data) != "gif" or not info(data)["is_animated"]:
+                    continue
+                for n, (s, delay) in enumerate(gif_frames(data, 512 << 20)):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, 1), pa.array([n], pa.int32()), pa.array([delay], pa.int64()), pa.array([s.shape[1]], pa.int64()), pa.array([s.shape[0]], pa.int64()), pa.array([s.tobytes()], pa.binary())],
+                        names=[key, "frame", "delay_ms", "width", "height", "samples"],
+                    )
+
+    return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, frame int, delay_ms long, width long, height long, samples binary")

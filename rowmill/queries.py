@@ -375,4 +375,4 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, 6::INT AS n, (p_size * 6)::BIGINT AS total FROM part")
 def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = images.image_samples(_pngs(spark, sf_dir), "p_partkey")
-    return r.select("p_partkey", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    return r.select("p_partkey", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("total"))

@@ -88,3 +88,51 @@ def test_other_formats_by_header():
     assert (images.info(webp)["width"], images.info(webp)["height"]) == (10, 5)
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHIHH", 256, 3, 1, 7, 0) + struct.pack("<HHIHH", 257, 3, 1, 8, 0)
     assert (images.info(tiff)["width"], images.info(tiff)["height"]) == (7, 8)
+
+
+def gif_codes(codes, size):
+    """Codes of one width, low bit first, as sub-blocks."""
+    n = sum(c << size * k for k, c in enumerate(codes))
+    body = n.to_bytes(-(-len(codes) * size // 8), "little")
+    return bytes([len(body)]) + body + b"\0"
+
+
+def test_gif_frames():
+    head = b"GIF89a" + struct.pack("<HHB", 2, 2, 0x81) + b"\0\0" + bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    image = lambda x, y, w, h, codes: b"," + struct.pack("<HHHHB", x, y, w, h, 0) + b"\2" + gif_codes([4, *codes, 5], 3)
+    control = lambda packed, delay, clear: b"!\xf9\4" + struct.pack("<BHB", packed, delay, clear) + b"\0"
+    data = head + control(4, 5, 0) + image(0, 0, 2, 2, [0, 4, 1, 4, 2, 4, 3]) + control(9, 7, 3) + image(1, 1, 1, 1, [3]) + b";"
+    (a, first), (b, second) = images.frames(data)
+    assert (first, second) == (50, 70) and (a == b).all()
+    assert a[..., :3].reshape(-1, 3).tolist() == [[255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9]] and (a[..., 3] == 255).all()
+    assert (images.decode(data) == a).all()
+    with pytest.raises(AvroError):
+        images.frames(head + image(0, 0, 2, 2, [0, 4, 1, 4, 2, 4, 3]) + b";")
+    with pytest.raises(AvroError):
+        images.decode(data[:40])
+
+
+def tiff_file(px, packing=1, body=None, extra=(), meaning=2):
+    h, w, c = px.shape
+    body = px.tobytes() if body is None else body
+    kinds = [(256, w), (257, h), (258, px.dtype.itemsize * 8), (259, packing), (262, meaning), (273, 8), (277, c), (278, h), (279, len(body)), (339, 3 if px.dtype.kind == "f" else 1), *extra]
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(kinds))
+    return b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(kinds)) + entries + bytes(4)
+
+
+def test_tiff():
+    rng = np.random.default_rng(3)
+    for kind, c in ((np.uint8, 3), (np.uint16, 1), (np.float32, 3)):
+        px = (rng.random((4, 5, c)) * 200).astype(kind)
+        assert (images.decode(tiff_file(px, meaning=2 if c == 3 else 1)) == px).all()
+        assert (images.decode(tiff_file(px, 8, zlib.compress(px.tobytes()), meaning=2 if c == 3 else 1)) == px).all()
+    row = np.array([[[7], [7], [7], [1], [2]]], np.uint8)
+    assert images.decode(tiff_file(row, 32773, bytes([254, 7, 1, 1, 2]), meaning=1)).ravel().tolist() == [7, 7, 7, 1, 2]
+    codes = [256, 7, 7, 7, 1, 2, 257]
+    packed = sum(v << 9 * (len(codes) - 1 - k) for k, v in enumerate(codes)) << 1
+    assert images.decode(tiff_file(row, 5, packed.to_bytes(8, "big"), meaning=1)).ravel().tolist() == [7, 7, 7, 1, 2]
+    alpha = np.array([[[200, 100, 0, 128]]], np.uint8)
+    assert images.decode(tiff_file(alpha, extra=[(338, 2)])).ravel().tolist() == [100, 50, 0, 128]
+    with pytest.raises(AvroError):
+        images.decode(tiff_file(row, meaning=1)[:40])
+    assert images.info(tiff_file(px))["pixel_type"] == "F32"
