@@ -64,11 +64,12 @@ def avro_decode(col: Column, schema: str | Schema, *, reader: str | Schema | Non
         wanted = check_projection(writer, inlined(projection, schemata))
     elif reader is not None:
         wanted = inlined(reader, schemata)
-    projected = columns is not None or projection is not None
-    source, target = writer.to_json(), None if wanted is writer else wanted.self_contained().to_json()
+    source, paths = writer.to_json(), None if columns is None else tuple(columns)
+    narrow = None if projection is None else inlined(projection, schemata).to_json()
+    target = narrow or (wanted.to_json() if reader is not None and paths is None else None)
 
     def decode(values: pa.Array) -> pa.Array:
-        d = decoder(source, target, projected)
+        d = decoder(source, target, narrow is not None, paths)
         lists, present = d.lists(), []
         for k, data in enumerate(values.to_pylist()):
             if data is None:

@@ -127,6 +127,15 @@ def map_value(col: Column, key: str, strict: bool = True) -> Column:
     return F.when(~F.map_contains_key(col, F.lit(key)), F.raise_error(F.lit(f"no key {key}"))).otherwise(got) if strict else got
 
 
+def type_name(col: Column) -> Column:
+    """The Spark type's name; of a union, see union_branch."""
+    return F.typeof(col)
+
+
+def is_null(col: Column) -> Column:
+    return col.isNull()
+
+
 # --- edits -------------------------------------------------------------------------------------------------
 def record_put(col: Column, name: str, value: Column) -> Column:
     return col.withField(name, value)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from rowmill.errors import AvroError
+from rowmill.plans.project import check_projection, project_paths
 from rowmill.plans.wire import MAX_ITEMS, read_bytes, read_long, skip_numbers
 from rowmill.schema import PROMOTIONS, Schema, can_read
 from rowmill.types import arrow_type, is_recursive, nullable_of
@@ -566,11 +567,11 @@ def _assemble(node: Node, kind: pa.DataType, lists: list[list]) -> pa.Array:
 
 
 @lru_cache(maxsize=64)
-def decoder(writer: str, wanted: str | None = None, projected: bool = False) -> Decoder:
-    """Compiled once for each worker and pair of schemas."""
-    from rowmill.plans.project import check_projection
-
+def decoder(writer: str, wanted: str | None = None, projected: bool = False, columns: tuple[str, ...] | None = None) -> Decoder:
+    """Compiled once for each worker and pair of schemas; columns are dotted paths of a projection."""
     w = Schema.parse(writer)
+    if columns is not None:
+        return Decoder(w, project_paths(w, list(columns)))
     if wanted is None:
         return Decoder(w)
     r = Schema.parse(wanted)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions import datum, paths, values
+from rowmill.functions.containers import ocf_decode
 from rowmill.operators import images, manifest
 from rowmill.schema import Schema
 from rowmill.sources.ocf import ocf_count, read_ocf, write_ocf
@@ -74,6 +75,15 @@ def ocf_count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocf_count(spark, _as_ocf(spark, _table(spark, sf_dir, "lineitem"), "count"))
 
 
+@query("SELECT c_custkey, c_name FROM customer")
+def ocf_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files as values of a binary column."""
+    df = _table(spark, sf_dir, "customer")
+    path = _as_ocf(spark, df, "bytes")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.avro").load(path)
+    return ocf_decode(files, "path", "content", avro_schema(df.schema), columns=["c_custkey", "c_name"]).drop("path")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem")
 def ocf_split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small blocks and small ranges, so that most ranges begin within a block."""

@@ -13,6 +13,7 @@ from rowmill.errors import AvroError
 from rowmill.plans.columns import ColumnEncoder
 from rowmill.plans.decode import Decoder, read_value
 from rowmill.plans.encode import encoder
+from rowmill.plans.project import check_projection, project_paths
 from rowmill.plans.wire import read_long, write_bytes, write_long
 from rowmill.schema import Schema
 from rowmill.sources.codec import check_codec, compress, decompress
@@ -140,10 +141,11 @@ class PushReader:
     With a wanted schema rows are resolved or projected; columns() gives Arrow batches, next_value() plain values in the writer's schema.
     """
 
-    def __init__(self, wanted: Schema | None = None, projection: Schema | None = None, max_block: int = MAX_BLOCK, max_expanded: int = MAX_EXPANDED):
+    def __init__(self, wanted: Schema | None = None, projection: Schema | None = None, columns: list[str] | None = None, max_block: int = MAX_BLOCK, max_expanded: int = MAX_EXPANDED):
         if max_block <= 0:
             raise AvroError("the limit of a block must be positive")
-        self.wanted, self.projection, self.max_block, self.max_expanded = wanted, projection, max_block, max_expanded
+        self.wanted, self.projection, self.paths = wanted, projection, columns
+        self.max_block, self.max_expanded = max_block, max_expanded
         self.header: Header | None = None
         self.failure: AvroError | None = None
         self._data, self._pos, self._closed = bytearray(), 0, False
@@ -246,10 +248,9 @@ class PushReader:
         if not self.next_ready():
             return None
         if self._decoder is None:
-            from rowmill.plans.project import check_projection
-
             w = self.header.schema
-            self._decoder = Decoder(w, check_projection(w, self.projection) if self.projection else self.wanted)
+            narrow = project_paths(w, self.paths) if self.paths else check_projection(w, self.projection) if self.projection else self.wanted
+            self._decoder = Decoder(w, narrow)
         try:
             lists = self._decoder.lists()
             self._at = self._decoder.run(self._block, self._at, self._left, lists)
@@ -280,6 +281,21 @@ def read_stream(f: BinaryIO, chunk: int = 1 << 16, **options: Any) -> Iterator[A
             return
 
 
+def read_batches(f: BinaryIO, chunk: int = 1 << 16, **options: Any) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of any file-like, one for each block, resolved or projected as PushReader's options say."""
+    reader, data = PushReader(**options), b"-"
+    while data:
+        data = f.read(chunk)
+        if data:
+            reader.feed(data)
+        else:
+            reader.close_input()
+        while (batch := reader.columns()) is not None:
+            yield batch
+    if reader.header is None:
+        raise AvroError("the file ends within its header", "range")
+
+
 class Writer:
     """Encodes rows into blocks of so many rows or bytes, whichever comes first."""
 

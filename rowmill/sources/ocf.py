@@ -82,8 +82,10 @@ class Options:
     def decoder(self, writer: Schema, first: Schema) -> Decoder:
         """For one file: projected strictly, or resolved to the reader's schema or the first file's."""
         text = writer.to_json()
-        if self.columns or self.projection:
-            return decoder(text, self.wanted(writer).self_contained().to_json(), projected=True)
+        if self.columns:
+            return decoder(text, columns=tuple(self.columns))
+        if self.projection:
+            return decoder(text, self.projection, projected=True)
         if self.reader:
             return decoder(text, self.reader)
         return decoder(text) if writer == first else decoder(text, first.to_json())

@@ -72,6 +72,16 @@ def test_ranges_give_each_row_once(spark, sf_dir, tmp_path):
     assert ocf_count(spark, str(tmp_path / "t")).first()["n"] == line.count()
 
 
+def test_one_type_narrowed_in_two_ways(spark, tmp_path):
+    schema = Schema.parse('{"type":"record","name":"T","fields":[{"name":"a","type":{"type":"record","name":"R","fields":[{"name":"x","type":"int"},{"name":"y","type":"int"}]}},{"name":"b","type":"R"}]}')
+    value = {"a": {"x": 1, "y": 2}, "b": {"x": 3, "y": 4}}
+    (tmp_path / "t.avro").write_bytes(to_bytes(schema, [value]))
+    assert read_ocf(spark, str(tmp_path), ["a.x", "b.y"]).first() == Row(a=Row(x=1), b=Row(y=4))
+    df = read_ocf(spark, str(tmp_path)).select(F.struct("a", "b").alias("v"))
+    got = df.select(datum.avro_decode(datum.avro_encode(F.col("v"), schema), schema, columns=["a.y", "b.x"]).alias("v")).first()[0]
+    assert got == Row(a=Row(y=2), b=Row(x=3))
+
+
 def test_overwrite_append_and_empty(spark, tmp_path):
     at = str(tmp_path / "t")
     df = spark.range(10).repartition(3)
