@@ -116,15 +116,11 @@ def _walk(col: Column, kind: T.DataType, path: AvroPath, strict: bool) -> list[t
     return ways
 
 
-def _type_of(df_schema: T.StructType, name: str) -> T.DataType:
-    return df_schema[name].dataType
-
-
 class PathReader:
     """Reads of one column of a DataFrame. Missing steps fail (strict) or give null."""
 
     def __init__(self, schema: T.StructType, column: str, strict: bool = True):
-        self.kind, self.col, self.strict = _type_of(schema, column), F.col(column), strict
+        self.kind, self.col, self.strict = schema[column].dataType, F.col(column), strict
 
     def _ways(self, path: str | AvroPath):
         return _walk(self.col, self.kind, path if isinstance(path, AvroPath) else AvroPath.parse(path), self.strict)
@@ -166,7 +162,7 @@ class PathReader:
         return out[0] if len(out) == 1 else F.coalesce(*out)
 
     def is_null(self, path: str | AvroPath) -> Column:
-        return F.coalesce(*(F.when(cond, c) for cond, c, _ in self._ways(path))).isNull() if len(self._ways(path)) == 1 else ~F.coalesce(*(F.when(cond & c.isNotNull(), F.lit(True)) for cond, c, _ in self._ways(path)), F.lit(False))
+        return ~F.coalesce(*(F.when(cond & c.isNotNull(), F.lit(True)) for cond, c, _ in self._ways(path)), F.lit(False))
 
     def type_name(self, path: str | AvroPath) -> str:
         """The type at a path, or the types of a union's branches."""

@@ -98,9 +98,6 @@ class Range(ds.InputPartition):
     end: int
     first_schema: str
 
-    def __init__(self, path: str, start: int, end: int, first_schema: str):
-        self.path, self.start, self.end, self.first_schema = path, start, end, first_schema
-
 
 def read_range(options: Options, part: Range, keep=None) -> Iterator[pa.RecordBatch]:
     """Arrow batches of the blocks that begin in a byte range of a file."""
