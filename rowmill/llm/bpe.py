@@ -111,6 +111,14 @@ class ForcedBoundaryBpe:
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         if not chunk:
             return ()
+        last = chunk[-1]
+        body = chunk[:-1] if last in ".,;:!?" else chunk
+        if body.isalpha():  # one word, perhaps with a mark behind it
+            if not body.isascii():
+                body = unicodedata.normalize("NFC", body).replace("Σ", "σ")
+            body = body.lower()
+            if body.isalpha():
+                return self._tokens[body] if len(body) and last.isalpha() else self._tokens[body] + self._tokens[last]
         out, at = [], 0
         for m in self._added.finditer(chunk) if self._added and "<" in chunk else ():
             out += [*self._plain(chunk[at : m.start()]), self.added[m[0]]]
