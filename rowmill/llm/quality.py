@@ -89,7 +89,7 @@ class AttentionMil:
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 700) -> AttentionMil:
     """Fitted on at most per_class labelled documents of each label outside the held-out fold; with one label or none, untrained weights and an even start."""
-    texts, y = sample(docs, labels, "quality", mod=4, held=2, per_class=per_class)
+    _, texts, y = sample(docs, labels, "quality", mod=4, held=2, per_class=per_class)
     model = AttentionMil()
     if texts:
         model.fit([passages(t) for t in texts], np.array(y, float))
