@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +27,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> bool:
+    """Let numpy's matrix products run on one thread in this process, as a task has one core; True if its library was found."""
+    found = False
+    for path in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                found = True
+    return found
+
+
 def remainder(id_col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join to a right side with one row for each key.
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """docs as a written table with a key for each row, and the key's name. Written, because a row's number does not outlast another evaluation."""
+    key = fresh(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), tag), key
+
+
+def without_rows(docs: DataFrame, key: str, gone: DataFrame, tag: str) -> DataFrame:
+    """docs without the rows whose key is in gone (one column), and without the key. Spark broadcasts gone while it is small, and shuffles beyond."""
+    gone = materialize(gone.toDF(key), tag)
+    return docs.join(gone, key, "left_anti").drop(key)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000, how: str = "left") -> DataFrame:
+    """Left or inner join to a right side with one row for each key.
 
     weight is the right side's column with the number of left rows of a key. Keys with more than
     total / share rows are fewer than share, so that part is broadcast and its left rows stay where they
@@ -37,7 +75,8 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     bound = max(total // share, 100)
     hot = F.broadcast(right.where(F.col(weight) > bound))
     rest = right.where(F.col(weight) <= bound)
-    return left.join(hot, keys, "inner").unionByName(left.join(F.broadcast(right.where(F.col(weight) > bound).select(*keys)), keys, "left_anti").join(rest, keys, "left"))
+    cold = left.join(F.broadcast(right.where(F.col(weight) > bound).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys, "inner").unionByName(cold.join(rest, keys, how))
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch], *names: str, most: int = 2000) -> Iterator[list[list]]:
@@ -48,25 +87,23 @@ def arrow_rows(batches: Iterable[pa.RecordBatch], *names: str, most: int = 2000)
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Components of a graph: (node, component), component being the smallest node. Self-loops and nulls are ignored.
 
-    Alternating large-star and small-star rounds; every round is joins and minima by key with map-side
-    combining, and rows never exceed twice the edges. Only one flag reaches the driver each round.
+    Alternating large-star and small-star rounds until nothing changes; every round is minima by key with map-side
+    combining and joins that leave the edges of a hub where they are, and rows never exceed twice the edges.
+    Only a count and one flag reach the driver each round.
     """
     star = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     star = materialize(star, "edges")
-    for _ in range(rounds):
+    while True:
+        total = 2 * star.count()
         both = star.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(star.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
-        loose = star.select(F.col("v").alias("u")).join(star.select("u"), "u", "left_semi").select("u")
-        forked = star.groupBy("u").count().where("count > 1").select("u")
-        if not loose.unionByName(forked).limit(1).collect():
+        low = materialize(both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("degree")).select("x", F.least("x", "m").alias("m"), "degree"), "low")
+        large = materialize(join_hot(both.where("y > x"), low, ["x"], "degree", total, how="inner").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "low")
+        if not low.where("degree > 1").limit(1).collect() and not low.select(F.col("m").alias("u")).join(low, "u", "left_semi").limit(1).collect():
             break
-    else:
-        raise RuntimeError("the components did not settle")
-    return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        small = join_hot(large, low, ["u"], "degree", total, how="inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+    return large.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(large.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -12,13 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize
+from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize, row_keys, without_rows
 from rowmill.llm.tokens import Recent
 
-#: Most classes and n-grams of a block, and blocks that a component of at least SPREAD_ROWS classes for each is spread over anyway.
+#: Most classes and n-grams of a block, and blocks that a group of at least SPREAD_ROWS classes for each is spread over anyway.
 BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 2_000_000, 16, 256
 
 
+#: How much of its buckets' work a component's may be at most to be verified whole.
+WHOLE = 1.0
+
+
 def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     """(bands, rows): the most rows for which, within so many hashes, a pair at the threshold meets with the wanted probability."""
     best = (most, 1)
@@ -129,99 +133,137 @@ def _components(linked: np.ndarray) -> np.ndarray:
 
 def _verify(threshold: float):
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links among one block, or between two: each member's number of linked documents and its first linked relative."""
-        rows = rows.drop_duplicates("rep").sort_values("rep")
+        """Links among one block, or between two: each member's number of linked documents and its first linked relative.
+
+        A group made of one band's bucket counts only links whose two classes share no earlier band, so that a pair that
+        meets in many buckets counts once.
+        """
+        rows = rows.sort_values("node")
         sets = [np.asarray(g, np.int64) for g in rows["grams"]]
         size = np.array([len(s) for s in sets], np.float32)
         both = _intersections(sets)
         linked = both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
         np.fill_diagonal(linked, False)
-        if key[1] != key[2]:
+        kind, _, one, other = key
+        if one != other:
             blk = rows["blk"].to_numpy()
             linked &= blk[:, None] != blk[None, :]
-        ids = rows["rep"].to_numpy()
-        links = linked @ rows["copies"].to_numpy(np.float64)
-        some = links > 0
-        return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "first": ids[_components(linked)][some]})
+        root = _components(linked)
+        ids = rows["node"].to_numpy()
+        counted = linked
+        for k in range(kind - 1):
+            hashes = np.array([bands[k] for bands in rows["bands"]])
+            counted = counted & (hashes[:, None] != hashes[None, :])
+        links = counted @ rows["copies"].to_numpy(np.float64)
+        some = linked.any(axis=1)
+        return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "first": ids[root][some]})
 
     return verify
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, n_links, copy_of, n_copies.
-
-    Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least the threshold.
-    class_id is the smallest id reached over links, n_links the number of other documents linked, copies
-    included; copy_of is the smallest id with the same set of n-grams, n_copies how many rows have that set.
-
-    1. Every text becomes its n-gram set's 128-bit hash and its band hashes, with as many bands and rows as the
-       wanted recall at the threshold needs. Rows with one set are one class from here on, so exact copies cost nothing.
-    2. Band hashes with two classes or more tie each class to the smallest in its bucket: rows in proportion
-       to the memberships, however full a bucket is. Their components hold all candidate pairs.
-    3. Only classes in such components get their full sets, once, dealt by component; a component of more than
-       256 classes or two million n-grams is split into blocks (of 2048 at most), and tasks verify one block or one
-       pair of blocks. All pairs of a component are verified in memory by matrix products; only counts and a spanning forest
-       come out, never pairs.
-    4. Components of the verified forest are the classes' ids.
-
-    Null, empty and blank texts have no n-grams: no links, each its own class. Texts of fewer than n words are
-    one n-gram. A row with a null id gets its set's class, if any. Rows that repeat an id with another text count
-    as one node. An empty table gives no rows; other columns are ignored. Work on one group of mutually similar,
-    different texts grows with the square of its size, in memory of fixed blocks.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, key_col: str | None, n: int, threshold: float, recall: float) -> DataFrame:
+    """For each row: key, doc_id, class_id, n_links, copy_of, n_copies and kept (one row of each class)."""
     bands, rows = banding(threshold, recall)
+    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in arrow_rows(batches, "id", "text"):
+        for keys, ids, texts in arrow_rows(batches, "key", "id", "text"):
             sets = [grams(t, n) for t in texts]
             lo = np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             hi = np.array([_mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             band = [band_hashes(s, bands, rows) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lo), pa.array(hi), pa.array(band, pa.list_(pa.int64()))], names=["id", "n", "lo", "hi", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lo), pa.array(hi), pa.array(band, pa.list_(pa.int64()))], names=["key", "id", "text", "n", "lo", "hi", "bands"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in arrow_rows(batches, "rep", "lo", "hi", "copies", "component", "blk", "nb", "text", most=500):
-            sets = [grams(t, n) for t in cols[-1]]
-            good = [k for k, s in enumerate(sets) if int(_mix(s).sum(dtype=np.uint64).view(np.int64)) == cols[1][k]]
-            out = [pa.array([c[k] for k in good], pa.int64()) for c in (cols[0], *cols[3:7])]
-            yield pa.RecordBatch.from_arrays([*out, pa.array([sets[k].view(np.int64) for k in good], pa.list_(pa.int64()))], names=["rep", "copies", "component", "blk", "nb", "grams"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "id long, n long, lo long, hi long, bands array<long>"), "signed")
+        for nodes, texts in arrow_rows(batches, "node", "text", most=500):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([grams(t, n).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["node", "grams"])
+
+    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = materialize(source.mapInArrow(sign, "key long, id long, text string, n long, lo long, hi long, bands array<long>"), "signed")
     total = signed.count()
-    classes = signed.where("n > 0").groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-
-    member = classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("m")).where("m > 1").select("bucket", "head")
-    edges = member.join(heads, "bucket").where("rep != head").select("rep", "head").distinct()
-    candidate = connected_components(edges, "rep", "head")
-
-    candidate = classes.select("rep", "lo", "hi", "copies", "n").join(candidate.withColumnRenamed("node", "rep"), "rep")
-    candidate = materialize(candidate, "candidates")
-    blocks = candidate.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.least(F.ceil(F.count("*") / SPREAD_ROWS), F.lit(SPREAD))).alias("nb"), F.count("*").alias("m"))
-    blocked = join_hot(candidate, blocks, ["component"], "m", total).withColumn("blk", F.pmod(F.xxhash64("rep"), "nb")).drop("m", "n")
-    sets = source.where("id is not null").join(blocked.withColumnRenamed("rep", "id"), "id").withColumn("rep", F.col("id"))
-    sets = sets.mapInArrow(full, "rep long, copies long, component long, blk long, nb long, grams array<long>")
+
+    # one class for each set of n-grams; its node is the key of its first row: smallest id, null last
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("head")
+    classes = signed.where("n > 0").groupBy("lo", "hi").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.col("head.key")), "classes")
+
+    member = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = member.groupBy("bucket").agg(F.min("node").alias("first"), F.min("band").alias("band"), F.count("*").alias("m"), F.sum(F.xxhash64("node") % (1 << 40)).alias("mark"))
+    buckets = materialize(buckets.where("m > 1"), "buckets")
+    every = int(buckets.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    edges = join_hot(member.select("node", "bucket"), buckets.select("bucket", "first", "m"), ["bucket"], "m", every, how="inner")
+    candidate = materialize(connected_components(edges, "node", "first"), "candidates")
+
+    # a component is verified whole, or by its buckets (each set of members once) where that is less work
+    buckets = buckets.join(buckets.groupBy("first", "m", "mark").agg(F.min("band").alias("band")), ["first", "m", "mark", "band"], "left_semi")
+    by_bucket = materialize(buckets.join(candidate.withColumnRenamed("node", "first"), "first").select("bucket", "m", "component"), "by_bucket")
+    sizes = candidate.groupBy("component").agg(F.count("*").alias("members"))
+    plan = sizes.join(by_bucket.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("work")), "component")
+    plan = materialize(plan.withColumn("whole", F.col("members") * F.col("members") <= WHOLE * F.col("work")), "plan")
+    held = int(plan.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    chosen = join_hot(candidate, plan, ["component"], "members", held, how="inner")
+    whole = chosen.where("whole").select("node", F.lit(0).alias("kind"), F.col("component").alias("group"))
+    parts = materialize(join_hot(by_bucket, plan.where("not whole").select("component", "members"), ["component"], "members", held, how="inner"), "parts")
+    some = chosen.where("not whole").select("node").join(member, "node")
+    some = join_hot(some, parts.select("bucket", "m"), ["bucket"], "m", every, how="inner").select("node", (F.col("band") + 1).cast("int").alias("kind"), F.col("bucket").alias("group"))
+    groups = materialize(whole.unionByName(some).join(classes.select("node", "n"), "node"), "groups")
+    blocks = groups.groupBy("kind", "group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS), F.least(F.ceil(F.count("*") / SPREAD_ROWS), F.lit(SPREAD))).alias("nb"), F.count("*").alias("m"))
+    grouped = join_hot(groups, materialize(blocks, "blocks"), ["kind", "group"], "m", groups.count(), how="inner").withColumn("blk", F.pmod(F.xxhash64("node"), "nb"))
+    grouped = grouped.join(classes.select("node", "copies", "bands"), "node").withColumn("bands", F.slice("bands", 1, F.greatest(F.col("kind") - 1, F.lit(0))))
+
+    wanted = materialize(groups.select("node").distinct(), "wanted")
+    sets = signed.select(F.col("key").alias("node"), "text").join(wanted, "node").mapInArrow(full, "node long, grams array<long>")
+    sets = materialize(sets, "sets").join(grouped, "node")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    sets = sets.select("rep", "copies", "component", "blk", "grams", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    verified = materialize(sets.groupBy("component", "i", "j").applyInPandas(_verify(threshold), "node long, links long, first long"), "verified")
+    sets = sets.select("node", "copies", "kind", "group", "bands", "blk", "grams", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    verified = materialize(sets.groupBy("kind", "group", "i", "j").applyInPandas(_verify(threshold), "node long, links long, first long"), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    found = connected_components(verified, "node", "first")
-    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = materialize(classes.select("lo", "hi", "rep", "copies", "component", "links"), "linked")
-    joined = join_hot(signed.select("id", "n", "lo", "hi").where("n > 0"), classes, ["lo", "hi"], "copies", total)
+    found = materialize(connected_components(verified, "node", "first"), "found")
+    linked = classes.join(found, "node").select("component", "head")
+    heads = materialize(linked.groupBy("component").agg(F.min("head").alias("top"), F.count("*").alias("m")), "heads")
+    top = join_hot(found, heads, ["component"], "m", total, how="inner").select("node", "top")
+    classes = classes.join(top, "node", "left").join(links, "node", "left")
+    classes = materialize(classes.select("lo", "hi", "head", "copies", F.coalesce("top", "head").alias("top"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "linked")
+    joined = join_hot(signed.select("key", "id", "n", "lo", "hi").where("n > 0"), classes, ["lo", "hi"], "copies", total)
     one = F.lit(1).cast("long")
     return joined.select(
-        F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("copy_of"), F.col("copies").alias("n_copies")
-    ).unionByName(signed.where("n = 0").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), (one - 1).alias("n_links"), F.col("id").alias("copy_of"), one.alias("n_copies")))
+        "key", F.col("id").alias("doc_id"), F.col("top.id").alias("class_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("head.id").alias("copy_of"), F.col("copies").alias("n_copies"), (F.col("key") == F.col("top.key")).alias("kept")
+    ).unionByName(signed.where("n = 0").select("key", F.col("id").alias("doc_id"), F.col("id").alias("class_id"), (one - 1).alias("n_links"), F.col("id").alias("copy_of"), one.alias("n_copies"), F.lit(True).alias("kept")))
+
+
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, n_links, copy_of, n_copies.
+
+    Two rows are linked if the Jaccard similarity of their texts' sets of word n-grams is at least the threshold.
+    class_id is the smallest id reached over links, n_links the number of other rows linked, copies
+    included; copy_of is the smallest id with the same set of n-grams, n_copies how many rows have that set.
+
+    1. Every text becomes its n-gram set's 128-bit hash and its band hashes, with as many bands and rows as the
+       wanted recall at the threshold needs. Rows with one set are one class from here on, so exact copies cost nothing;
+       a class is known by the key of one of its rows, and ids play no part before the result.
+    2. Band hashes with two classes or more tie each class to the first in its bucket: rows in proportion
+       to the memberships, however full a bucket is. Their components hold all candidate pairs.
+    3. A component is verified as one group if that is less work than verifying its buckets one by one, as with copies of
+       one text; components that only chain are verified by bucket, buckets of the same members once. Classes in groups
+       get their full sets, once for each group; a group of more than 256 classes or two million n-grams is split into
+       blocks (of 2048 at most), and tasks verify one block or one pair of blocks. All pairs of a group are verified in memory
+       by matrix products; only counts and a spanning forest come out, never pairs.
+    4. Components of the verified forest are the classes' ids.
+
+    Null, empty and blank texts have no n-grams: no links, each its own class. Texts of fewer than n words are
+    one n-gram. Null ids and repeated ids are rows like any other: every row is linked by its own text, and null
+    comes after all ids. An empty table gives no rows; other columns are ignored. Work on one group of mutually similar,
+    different texts grows with the square of its size, in memory of fixed blocks. Building the result runs the steps.
+    """
+    return _classes(docs, id_col, text_col, None, n, threshold, recall).drop("key", "kept")
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, that with the smallest id; rows with a null id stay."""
-    gone = similar_documents(docs).where("doc_id is not null and doc_id != class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each class: that with the smallest id, null after all, and of equal ids any one; columns as they are."""
+    keyed, key = row_keys(docs, "keyed")
+    gone = _classes(keyed, "doc_id", "text", key, 5, 0.8, 0.995).where(~F.col("kept")).select("key")
+    return without_rows(keyed, key, gone, "gone")
 
 
 #: The exact join, for small tables: all links, where banding may miss one in some hundreds at the very threshold.
