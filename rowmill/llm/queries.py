@@ -17,7 +17,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
