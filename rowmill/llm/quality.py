@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.llm.common import one_thread
 from rowmill.llm.labelled import sample
 
 WORDS, BINS = 64, 129
@@ -89,7 +90,7 @@ class AttentionMil:
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 700) -> AttentionMil:
     """Fitted on at most per_class labelled documents of each label outside the held-out fold; with one label or none, untrained weights and an even start."""
-    _, texts, y = sample(docs, labels, "quality", mod=4, held=2, per_class=per_class)
+    _, texts, y, _ = sample(docs, labels, "quality", mod=4, held=2, per_class={0: per_class, 1: per_class})
     model = AttentionMil()
     if texts:
         model.fit([passages(t) for t in texts], np.array(y, float))
@@ -106,6 +107,7 @@ def score(docs: DataFrame, model: AttentionMil, *, threshold: float = 0.7) -> Da
     kept = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             out = [np.zeros(0)]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
@@ -153,10 +154,29 @@ def test_exact_dedup_awkward(awkward, empty):
     assert [(r["keep_id"], r["kept"]) for r in rows if r["doc_id"] == 3] == [(3, True)]  # the most code points
     left = exact_dedup.drop_exact_duplicates(awkward)
     assert left.columns == awkward.columns and left.count() == sum(r["kept"] for r in rows)
+    named = awkward.withColumn("_digest", F.lit("own")).withColumn("row_key", F.lit(1)).withColumn("KEY", F.lit(2))
+    assert exact_dedup.drop_exact_duplicates(named).columns == named.columns and {r["_digest"] for r in exact_dedup.drop_exact_duplicates(named).collect()} == {"own"}
     same = awkward.where("doc_id = 6")
     assert exact_dedup.drop_exact_duplicates(same).count() == 1
 
 
+def test_merge_of_runs():
+    """Rows in any order are taken apart into runs; those that agree in the digest only stay apart."""
+    rng = random.Random(12)
+    rows = [(0, f"{rng.randint(0, 30):02d}", rng.randint(0, 1), 5, -rng.randint(1, 3), False, rng.randint(0, 99), k, 1) for k in range(500)]
+    runs = [sorted(rows[k::7]) for k in range(7)]
+    want = {}
+    for r in sorted(rows):
+        first, n = want.setdefault(r[:4], (r, 0))
+        want[r[:4]] = (first, n + 1)
+    assert [(r[:-1], r[-1]) for r in exact_dedup.merged([iter(r) for r in runs])] == [(first[:-1], n) for first, n in want.values()]
+    schema = pa.schema([("node", pa.int32()), ("digest", pa.string()), *((c, pa.int64()) for c in ("check", "size", "cp")), ("id_null", pa.bool_()), *((c, pa.int64()) for c in ("id", "key", "n"))])
+    sent = [r for run in runs for r in run]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sent[k : k + 33]), schema)], schema=schema) for k in range(0, 500, 33)]
+    got = [tuple(r.values()) for b in exact_dedup._merge(iter(batches)) for r in b.to_pylist()]
+    assert [(r[:-1], r[-1]) for r in got] == [(first[:-1], n) for first, n in want.values()]
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------
 def brute_similar(texts, threshold=0.8):
     sets = {}
@@ -228,6 +248,32 @@ def test_ngram_join_awkward(awkward, empty):
     assert ngram_join.drop_similar(awkward).columns == awkward.columns
 
 
+def test_ngram_join_keeps_links_of_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (2, a + " x"), (1, b), (3, b + " y"), (None, "c " * 3 + " ".join(f"c{k}" for k in range(60))), (9, "c " * 3 + " ".join(f"c{k}" for k in range(61)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in ngram_join.similar_documents(docs).collect())
+    assert got == Counter([(1, 1, 1), (2, 1, 1), (1, 1, 1), (3, 1, 1), (None, 1, 9), (9, 1, 9)])
+    left = ngram_join.drop_similar(docs).collect()
+    assert sorted((r["doc_id"], r["text"][:1]) for r in left) == [(1, "a"), (1, "b"), (9, "c")]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_ngram_join_by_component_or_bucket(spark, monkeypatch, whole):
+    """Texts that change word by word chain; verified by component or by bucket, links are the same."""
+    rng = random.Random(4)
+    words, texts = [f"w{k}" for k in range(80)], {}
+    for k in range(120):
+        words[rng.randrange(80)] = f"n{k}"
+        texts[k] = " ".join(words)
+    if not whole:  # work of a component counts as more than that of its buckets
+        monkeypatch.setattr(ngram_join, "WHOLE", 0.0)
+    links, component = brute_similar(texts)
+    rows = ngram_join.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    wrong = [r for r in rows if (r["n_links"], r["class_id"]) != (len(links[r["doc_id"]]), component[r["doc_id"]])]
+    assert len(wrong) <= 4 and sum(map(len, links.values())) > 100
+
+
 def test_banding_reaches_the_recall():
     for recall in (0.9, 0.995):
         bands, rows = ngram_join.banding(0.8, recall)
@@ -457,6 +503,41 @@ def test_neighbours_recall(spark):
     assert hit / (20 * len(found)) > 0.95
 
 
+def test_neighbours_verify_a_part_of_the_vectors():
+    """On clustered vectors the stopping test leaves most unverified; recall stays over 0.9."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((100, 64))
+    x = centre[rng.integers(0, 100, 6000)] + 0.2 * rng.standard_normal((6000, 64))
+    index = ann.build(x, [np.array([k]) for k in range(6000)], float((x * x).sum(axis=1).max()), 16)
+    hit = share = 0
+    for q, (ids, score, verified) in zip(range(0, 6000, 100), ann.search(index, x[::100], 20, 16, 0.92)):
+        want = np.argsort(-(x @ x[q]), kind="stable")[:20]
+        hit, share = hit + len(set(ids) & set(want)) / 20 / 60, share + verified / 6000 / 60
+    assert hit > 0.9 and share < 0.5
+
+
+def test_neighbours_recall_on_the_table(spark):
+    got = queries.op8_neighbours(spark, "/root/testdata/sf0.1").collect()
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    ids, x = np.array(t.column(0).to_pylist()), np.array(t.column(1).to_pylist(), float)
+    found = defaultdict(set)
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    hit = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(found[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]])) / 20)
+    assert np.mean(hit) >= 0.9
+
+
+def test_neighbours_in_double_precision(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 8)) * (1 + 1e-9)
+    rows = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), shard_rows=50).collect()
+    assert len(rows) == 400 and all(abs(r["score"] - float((x[r["query_id"]] * x[r["vec_id"]]).sum())) < 1e-14 for r in rows)
+
+
 def test_neighbours_awkward(spark):
     schema = "vec_id long, embedding array<float>, q string, x int, best string"
     rows = [(0, [1.0, 0.0], "", 1, ""), (20, [1.0, 0.0], "", 1, ""), (20, [1.0, 0.0], "", 1, ""), (3, [0.5, 0.5], "", 1, ""), (4, None, "", 1, ""), (40, [0.0, 0.0], "", 1, ""), (5, [float("nan"), 1.0], "", 1, ""), (60, [None, 1.0], "", 1, ""), (80, [float("inf"), 1.0], "", 1, ""), (None, [1.0, 1.0], "", 1, ""), (100, [], "", 1, ""), (120, [1.0], "", 1, "")]
