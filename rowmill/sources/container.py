@@ -22,6 +22,7 @@ MAGIC = b"Obj\x01"
 MAX_HEADER = 16 << 20
 MAX_BLOCK = 128 << 20
 MAX_EXPANDED = 512 << 20
+MAX_EMPTY_ROWS = 1 << 20
 
 
 @dataclass
@@ -135,6 +136,12 @@ def check_block(rows: int, size: int, max_block: int) -> None:
         raise AvroError(f"a block of {size} bytes exceeds the limit of {max_block}")
 
 
+def check_rows(rows: int, size: int) -> None:
+    """Only rows of no bytes can be more than the bytes of their block; such a block costs nothing to write, so its rows are bounded."""
+    if rows > size and rows > MAX_EMPTY_ROWS:
+        raise AvroError(f"a block of {size} bytes claims {rows} rows, over {MAX_EMPTY_ROWS}")
+
+
 class PushReader:
     """Takes bytes as they come and gives rows as soon as they are whole. The first error stays.
 
@@ -224,6 +231,7 @@ class PushReader:
             if self._data[start + size : start + size + 16] != self.header.marker:
                 raise AvroError("wrong marker after a block")
             self._block = decompress(self.header.codec, bytes(self._data[start : start + size]), self.max_expanded)
+            check_rows(rows, len(self._block))
             self._at, self._left = 0, rows
             self._pos = start + size + 16
             if rows:

@@ -12,8 +12,13 @@ planning costs one directory listing and one header, whatever the size of the fi
 
 from __future__ import annotations
 
+import base64
+import functools
+import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ from rowmill.plans.project import check_projection, project_paths
 from rowmill.plans.wire import read_long
 from rowmill.schema import Schema
 from rowmill.sources.codec import check_codec, decompress
-from rowmill.sources.container import MAX_BLOCK, MAX_EXPANDED, Header, Writer, block_index, check_block, read_header
+from rowmill.sources.container import MAX_BLOCK, MAX_EXPANDED, Header, Writer, block_index, check_block, check_rows, read_header
 from rowmill.sources.files import list_files, open_fs, open_input
 from rowmill.types import avro_schema, struct_of
 
@@ -121,6 +126,7 @@ def read_range(options: Options, part: Range, keep=None) -> Iterator[pa.RecordBa
             if payload[size:] != header.marker:
                 raise AvroError(f"{part.path}: wrong marker after the block at offset {pos}")
             data = decompress(header.codec, payload[:size], options.max_expanded)
+            check_rows(count, len(data))
             if decode.run(data, 0, count, lists) != len(data):
                 raise AvroError(f"{part.path}: the block at offset {pos} has bytes after its last row")
             rows += count
@@ -176,7 +182,7 @@ def ranges(options: Options, files: list, first: str) -> list[Range]:
 
 
 class OcfFilteringReader(OcfReader):
-    """Also tests simple predicates on flat columns. Every filter is handed back, so Spark tests it again and nothing depends on this."""
+    """Also tests simple predicates on flat columns, keeping every row that Spark would keep. Every filter is handed back, so Spark tests it again."""
 
     def pushFilters(self, filters):
         for f in filters:
@@ -189,6 +195,29 @@ class OcfFilteringReader(OcfReader):
 _COMPARE = {"EqualTo": pc.equal, "GreaterThan": pc.greater, "GreaterThanOrEqual": pc.greater_equal, "LessThan": pc.less, "LessThanOrEqual": pc.less_equal}
 
 
+def _test(column: pa.Array, kind: str, value) -> pa.Array:
+    """Which values pass. Spark holds NaN equal to itself and above all other numbers, where Arrow holds no comparison with it true."""
+    if kind == "IsNotNull":
+        return pc.is_valid(column)
+    floating = pa.types.is_floating(column.type)
+    if kind == "In":
+        if not floating:
+            return pc.is_in(column, pa.array(list(value), column.type))
+        hits = [_test(column, "EqualTo", v) for v in value if v is not None]
+        return functools.reduce(pc.or_kleene, hits) if hits else pa.array([False] * len(column))
+    if not floating:
+        return _COMPARE[kind](column, pa.scalar(value, column.type))
+    nan = pc.is_nan(column)
+    if value == value:
+        hit = _COMPARE[kind](column, pa.scalar(value, column.type))
+        return pc.or_kleene(hit, nan) if kind.startswith("Greater") else hit
+    if kind == "GreaterThan":
+        return pc.and_(nan, False)
+    if kind == "LessThan":
+        return pc.invert(nan)
+    return pc.is_valid(column) if kind == "LessThanOrEqual" else nan
+
+
 def _tester(tests: list):
     if not tests:
         return None
@@ -196,14 +225,8 @@ def _tester(tests: list):
     def keep(batch: pa.RecordBatch) -> pa.Array:
         out = pa.array([True] * batch.num_rows)
         for kind, name, value in tests:
-            column = batch.column(name)
             try:
-                if kind == "IsNotNull":
-                    hit = pc.is_valid(column)
-                elif kind == "In":
-                    hit = pc.is_in(column, pa.array(list(value), column.type))
-                else:
-                    hit = _COMPARE[kind](column, pa.scalar(value, column.type))
+                hit = _test(batch.column(name), kind, value)
             except (pa.ArrowException, TypeError, ValueError):
                 continue
             out = pc.and_(out, pc.fill_null(hit, False))
@@ -212,30 +235,51 @@ def _tester(tests: list):
     return keep
 
 
+def _marks(paths) -> str:
+    """A set of paths as text: their sorted 64-bit hashes, packed."""
+    return base64.b64encode(zlib.compress(b"".join(sorted(hashlib.blake2b(p.encode(), digest_size=8).digest() for p in paths)))).decode()
+
+
+def _marked(text: str) -> set[bytes]:
+    data = zlib.decompress(base64.b64decode(text))
+    return {data[k : k + 8] for k in range(0, len(data), 8)}
+
+
 class OcfStreamReader(ds.DataSourceStreamReader):
-    """Files of a folder in the order of their modification times; an offset is the time and path of the last file taken."""
+    """Files of a folder, each once, whatever their names and modification times: an offset holds the set of files seen that are still there.
+
+    With maxFilesPerTrigger new files come in the order of their modification times; the first batch after a restart takes all
+    that are new, as Spark does not tell a Python source then where it was. An offset has 8 bytes for each file in
+    the folder, so move old files away. A file of an offset that is gone before it was read fails the batch.
+    """
 
     def __init__(self, options: Options, per_trigger: int):
         self.options, self.per_trigger = options, per_trigger
-        self.last: tuple[int, str] = (0, "")
+        self.seen: set[bytes] | None = None
 
-    def _files(self) -> list[tuple[int, str, object]]:
-        return sorted((int(f.mtime_ns or 0), f.path, f) for f in list_files(self.options.path, self.options.suffix))
+    def _files(self) -> dict[bytes, object]:
+        files = sorted(list_files(self.options.path, self.options.suffix), key=lambda f: (int(f.mtime_ns or 0), f.path))
+        return {hashlib.blake2b(f.path.encode(), digest_size=8).digest(): f for f in files}
 
     def initialOffset(self) -> dict:
-        return {"time": 0, "path": ""}
+        self.seen = set()
+        return {"files": _marks([])}
 
     def latestOffset(self) -> dict:
-        new = [(t, p) for t, p, _ in self._files() if (t, p) > self.last]
-        if new:
-            self.last = new[min(len(new), self.per_trigger or len(new)) - 1]
-        return {"time": self.last[0], "path": self.last[1]}
+        files = self._files()
+        new = [h for h in files if self.seen is None or h not in self.seen]
+        if self.per_trigger and self.seen is not None:
+            new = new[: self.per_trigger]
+        self.seen = (self.seen or set()) & files.keys() | set(new)
+        return {"files": _marks(files[h].path for h in self.seen)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        self.last = max(self.last, high)
-        files = [f for t, p, f in self._files() if low < (t, p) <= high]
-        return ranges(self.options, files, self.options.first_header().schema.to_json()) if files else []
+        after = _marked(end["files"])
+        self.seen = (self.seen or set()) | after
+        new, files = after - _marked(start["files"]), self._files()
+        if new - files.keys():
+            raise AvroError(f"{len(new - files.keys())} files of the batch are gone from {self.options.path}", "missing")
+        return ranges(self.options, [f for h, f in files.items() if h in new], self.options.first_header().schema.to_json()) if new else []
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return read_range(self.options, partition)
@@ -283,17 +327,15 @@ class OcfWriter(ds.DataSourceArrowWriter):
         return Written(temporary, f"{root}/{name}", rows)
 
     def commit(self, messages) -> None:
-        system, root = open_fs(self.path)
+        """New files get their names first, and only then old ones go, so that a crash in between loses no row; file operations run side by side."""
+        system, _ = open_fs(self.path)
         done = [m for m in messages if m is not None]
-        if self.overwrite:
-            for f in list_files(self.path):
-                system.delete_file(f.path)
-        full = [m for m in done if m.rows]
-        for k, m in enumerate(done):
-            if m.rows or (not full and k == 0):  # a table without rows keeps one file for its schema
-                system.move(m.temporary, m.final)
-            else:
-                system.delete_file(m.temporary)
+        old = list_files(self.path) if self.overwrite else []
+        full = [m for m in done if m.rows] or done[:1]  # a table without rows keeps one file for its schema
+        kept = {m.temporary for m in full}
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda m: system.move(m.temporary, m.final), full))
+            list(pool.map(system.delete_file, [f.path for f in old] + [m.temporary for m in done if m.temporary not in kept]))
 
     def abort(self, messages) -> None:
         system, _ = open_fs(self.path)
