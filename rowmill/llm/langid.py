@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from rowmill.llm.common import arrow_rows, remainder
 from rowmill.llm.tokens import byte_alphabet
 
-LONGEST, PART = 8, 40
+#: Probability of a letter that no piece covers, cells of a batch of words, and how often sums of longer words are rescaled.
+FLOOR, CELLS, RESCALE = 1e-7, 200_000, 16
 _RUN = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(path: str, longest: int = LONGEST) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """Pieces of a byte-level vocabulary file that are whole characters, in lower case, a leading space being a word's start."""
     alphabet = byte_alphabet()
     out = set()
@@ -31,7 +32,7 @@ def vocabulary(path: str, longest: int = LONGEST) -> list[str]:
             piece = bytes(alphabet[c] for c in token).decode("utf-8").lower()
         except (UnicodeDecodeError, KeyError):
             continue
-        if piece.strip() and len(piece) <= longest and all(c.isalpha() or (c == " " and k == 0) for k, c in enumerate(piece)):
+        if piece.strip() and all(c.isalpha() or (c == " " and k == 0) for k, c in enumerate(piece)):
             out.add(piece)
     return sorted(out)
 
@@ -44,106 +45,154 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+class Trie:
+    """Pieces as a trie whose edges lie in an open hash table; every edge is found within the longest run of probes that building it met."""
+
+    def __init__(self, pieces: list[str]):
+        edges, end = {}, [-1]
+        for number, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                key = node << 21 | ord(c)
+                if key not in edges:
+                    edges[key] = len(end)
+                    end.append(-1)
+                node = edges[key]
+            end[node] = number
+        self.end, bits = np.array(end, np.int64), max(4, (4 * len(edges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child, self.probes = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64), 1
+        for key, child in edges.items():
+            slot, n = ((key * int(_MUL)) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits), 1
+            while self.keys[slot] >= 0:
+                slot, n = (slot + 1) & self.mask, n + 1
+            self.keys[slot], self.child[slot], self.probes = key, child, max(self.probes, n)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The children of nodes by a letter; -1 where there is none."""
+        key = node << 21 | code
+        slot = ((key.view(np.uint64) * _MUL) >> self.shift).view(np.int64)
+        out = np.where(self.keys[slot] == key, self.child[slot], -1)
+        left = np.flatnonzero((out < 0) & (self.keys[slot] >= 0))
+        for _ in range(self.probes - 1):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & self.mask
+            here = self.keys[slot[left]]
+            good = here == key[left]
+            out[left[good]] = self.child[slot[left[good]]]
+            left = left[~good & (here >= 0)]
+        return out
+
+    def at(self, codes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, rows, piece) for all pieces that begin at one place of words of one length."""
+        rows, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        for j in range(i + 1, codes.shape[1] + 1):
+            node = self.step(node, codes[rows, j - 1])
+            alive = node >= 0
+            rows, node = rows[alive], node[alive]
+            if not len(rows):
+                return
+            piece = self.end[node]
+            some = piece >= 0
+            if some.any():
+                yield j, rows[some], piece[some]
+
+
 class PieceModel:
     """For each language a probability for each piece; a text's is that of its words, and a word's is the sum over all its segmentations.
 
-    Characters in no piece count as one unknown piece with one small probability in every language. Pieces are found by
-    hash in a table of fixed size, and words of one length are scored together.
+    Characters in no piece count as one unknown piece with one small probability in every language. All pieces of
+    the vocabulary are used, words may be of any length, and words of one length are scored together.
     """
 
     def __init__(self, pieces: list[str], languages: list[str]):
         self.pieces, self.languages = pieces, languages
-        self.logp = np.zeros((len(pieces) + 1, len(languages)))
-        self.keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in pieces] + [0], np.uint64)
-        self.first, self.second = np.full(1 << 20, len(pieces), np.int32), np.full(1 << 16, len(pieces), np.int32)
-        for k, key in enumerate(self.keys[:-1]):
-            slot = int(key >> np.uint64(44))
-            if self.first[slot] == len(pieces):
-                self.first[slot] = k
-            elif self.second[int(key) & 0xFFFF] == len(pieces):
-                self.second[int(key) & 0xFFFF] = k
-
-    @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            h = (h ^ (codes[:, k] + np.uint64(1))) * _MUL
-            h ^= h >> np.uint64(29)
-        return h
-
-    def find(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number of every substring of words of one length; the last number means none."""
-        n, length = codes.shape
-        out = {}
-        for i in range(length):
-            h = np.zeros(n, np.uint64)
-            for j in range(i + 1, min(length, i + LONGEST) + 1):
-                h = (h ^ (codes[:, j - 1] + np.uint64(1))) * _MUL
-                h ^= h >> np.uint64(29)
-                one, two = self.first[h >> np.uint64(44)], self.second[h & np.uint64(0xFFFF)]
-                out[i, j] = np.where(self.keys[one] == h, one, np.where(self.keys[two] == h, two, len(self.pieces)))
-        return out
+        self.logp = np.zeros((len(pieces), len(languages)))
+        self.trie, self.longest = Trie(pieces), max(map(len, pieces), default=1)
+
+    def forward(self, codes: np.ndarray, prob: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For every beginning of words of one length the sum over all its segmentations, and the logarithm of what it was divided by.
 
-    def forward(self, codes: np.ndarray, prob: np.ndarray, floor: float = 1e-7) -> tuple[dict, np.ndarray]:
-        """Pieces, and for every beginning of the words the sum over all its segmentations. No part is so long that a sum vanishes."""
+        Sums of longer words are rescaled now and then, so that none vanishes. `kept` gets each place's pieces.
+        """
         n, length = codes.shape
-        spans = self.find(codes)
         alpha = np.zeros((length + 1, n, prob.shape[1]))
+        log = np.zeros((length + 1 if length > 2 * RESCALE else 1, n, prob.shape[1]))
         alpha[0] = 1
-        for (i, j), piece in spans.items():  # by beginning, so alpha[i] is complete
-            p = prob[piece]
-            alpha[j] += alpha[i] * (np.maximum(p, floor) if j - i == 1 else p)
-        return spans, alpha
+        for i in range(length):
+            if len(log) > 1 and i and i % RESCALE == 0:
+                most = alpha[i].copy()
+                alpha[i : i + self.longest + 1] /= most
+                log[i:] += np.log(most)
+            alpha[i + 1] += alpha[i] * FLOOR
+            found = list(self.trie.at(codes, i))
+            for j, rows, piece in found:
+                p = prob[piece] if j > i + 1 else np.maximum(prob[piece], FLOOR) - FLOOR
+                alpha[j, rows] += alpha[i, rows] * p
+            if kept is not None:
+                kept.append(found)
+        return alpha, log
+
+    def _batches(self, words: dict[str, float] | list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Words of one length, with a space before them, and their letters."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for length, some in by_length.items():
+            step = max(1, CELLS // (length + 1))
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                yield part, np.frombuffer(" ".join(["", *part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length + 1).astype(np.int64)
 
     def word_logp(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language. Longer words are summed in parts of 40 letters."""
+        """Log probability of each different word in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        prob = np.exp(self.logp)
-        prob[-1] = 0
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for k, w in enumerate(words):
-            spaced = " " + w
-            for at in range(0, len(spaced), PART):
-                part = spaced[at : at + PART]
-                by_length.setdefault(len(part), []).append((k, part))
-        for length, some in by_length.items():
-            for at in range(0, len(some), 2048):
-                part = some[at : at + 2048]
-                codes = np.frombuffer("".join(p for _, p in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length).astype(np.uint64)
-                np.add.at(out, [k for k, _ in part], np.log(self.forward(codes, prob)[1][-1]))
+        prob, where = np.exp(self.logp), {w: k for k, w in enumerate(words)}
+        for part, codes in self._batches(words):
+            alpha, log = self.forward(codes, prob)
+            out[[where[w] for w in part]] = np.log(alpha[-1]) + log[-1]
         return out
 
     def fit(self, counts: list[Counter], rounds: int = 3, smooth: float = 0.1) -> None:
         """Expectation-maximisation for each language over its words' counts, from how often each piece is a substring."""
         for lang, count in enumerate(counts):
-            by_length: dict[int, list[tuple[str, int]]] = {}
-            for w, n in count.items():
-                if len(w) < PART:
-                    by_length.setdefault(len(w) + 1, []).append((" " + w, n))
-            groups = [(np.array([list(map(ord, w)) for w, _ in part], np.uint64), np.array([n for _, n in part], float)) for part in by_length.values()]
+            groups = [(codes, np.array([count[w] for w in part], float)) for part, codes in self._batches(count)]
             prob = None
             for _ in range(rounds):
-                got = np.full(len(self.pieces) + 1, smooth)
+                got = np.full(len(self.pieces), smooth)
                 for codes, n in groups:
-                    length = codes.shape[1]
-                    if prob is None:
-                        for found in self.find(codes).values():
-                            got += np.bincount(found, n / length, minlength=len(got))
-                        continue
-                    spans, alpha = self.forward(codes, prob[:, None])
-                    alpha = alpha[:, :, 0]
-                    beta = np.zeros((length + 1, len(codes)))
-                    beta[length] = 1 / alpha[length]
-                    for (i, j), piece in reversed(spans.items()):
-                        p = prob[piece]
-                        part = (np.maximum(p, 1e-7) if j - i == 1 else p) * beta[j]
-                        beta[i] += part
-                        got += np.bincount(piece, n * alpha[i] * part, minlength=len(got))
-                got[-1] = 0
+                    self._expect(codes, n, prob, got)
                 prob = got / got.sum()
             with np.errstate(divide="ignore"):
                 self.logp[:, lang] = np.log(prob) if prob is not None else -np.log(len(self.pieces))
 
+    def _expect(self, codes: np.ndarray, n: np.ndarray, prob: np.ndarray | None, got: np.ndarray) -> None:
+        """Add how often each piece is expected in the words, n times each."""
+        length = codes.shape[1]
+        if prob is None:
+            for i in range(length):
+                for _, rows, piece in self.trie.at(codes, i):
+                    got += np.bincount(piece, n[rows] / length, minlength=len(got))
+            return
+        kept: list = []
+        alpha, log = self.forward(codes, prob[:, None], kept)
+        alpha, log = alpha[:, :, 0], log[:, :, 0]
+        whole = np.log(alpha[-1]) + log[-1]
+        beta, after = np.zeros((length + 1, len(codes))), np.zeros(len(codes))
+        beta[length] = 1
+        for i in range(length - 1, -1, -1):
+            share = n * np.exp(log[min(i, len(log) - 1)] + after - whole)
+            beta[i] = beta[i + 1] * FLOOR
+            for j, rows, piece in kept[i]:
+                p = np.maximum(prob[piece], FLOOR if j == i + 1 else 0)
+                got += np.bincount(piece, share[rows] * alpha[i, rows] * p * beta[j, rows], minlength=len(got))
+                beta[i, rows] += (p - FLOOR if j == i + 1 else p) * beta[j, rows]
+            if len(log) > 1 and i % RESCALE == 0:
+                most = beta[i].copy()
+                beta[i : i + self.longest + 1] /= most
+                after = after + np.log(most)
+
     def predict(self, texts: list[str | None], memo: "Scored") -> list[tuple[str, float]]:
         """(language, share of its probability) of whole texts; "und" with 0 where no letter is."""
         split = [words_of(t) if t else [] for t in texts]
@@ -188,14 +237,18 @@ def _scored(stamp: str) -> Scored:
     return Scored()
 
 
-def train(docs: DataFrame, *, vocab: str, per_language: int = 250) -> PieceModel | None:
-    """Fitted on at most per_language documents of each language outside the held-out fold; None where there are none.
+def train(docs: DataFrame, *, vocab: str, per_language: int = 250, max_chars: int = 8_000_000) -> PieceModel | None:
+    """Fitted on at most per_language documents of each language, of max_chars characters together, outside the held-out fold; None where there are none.
 
     Spark keeps the first few ids of each language in every task before any shuffle, so a language with most of the rows costs no more.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
-    ids = [r["doc_id"] for r in known.select("lang", "doc_id").withColumn("nth", nth).where(F.col("nth") <= per_language).select("doc_id").collect()]
+    ids, used = [], Counter()
+    for r in known.select("lang", "doc_id", F.length("text").alias("n")).withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("lang", "nth").collect():
+        if used[r["lang"]] + r["n"] <= max_chars:
+            used[r["lang"]] += r["n"]
+            ids.append(r["doc_id"])
     counts: dict[str, Counter] = {}
     for r in known.where(F.col("doc_id").isin(ids)).select("lang", "text").collect() if ids else []:
         counts.setdefault(r["lang"], Counter()).update(words_of(r["text"]))
@@ -210,7 +263,8 @@ def train(docs: DataFrame, *, vocab: str, per_language: int = 250) -> PieceModel
 def identify(docs: DataFrame, model: PieceModel | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs (doc_id, text).
 
-    Null texts and texts without a letter are "und" with score 0, as is everything where nothing was learned.
+    Null texts and texts without a letter are "und" with score 0, as is everything where nothing was learned;
+    between languages that are equally likely the first by name is chosen.
     Rows that repeat are predicted each, null ids stay null, other columns are ignored. No shuffle; whole texts.
     """
 

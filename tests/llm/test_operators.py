@@ -448,23 +448,68 @@ def test_licenses_awkward(awkward, empty):
 
 
 # --- 7 -----------------------------------------------------------------------------------------------------
-def test_forward_sums_all_segmentations():
-    model = langid.PieceModel([" a", " ab", "a", "ab", "b", "ba", "c"], ["x", "y"])
-    rng = np.random.default_rng(0)
-    model.logp = np.log(np.vstack([rng.uniform(0.01, 0.3, (7, 2)), [1e-9, 1e-9]]))
-    prob = {p: np.exp(model.logp[k]) for k, p in enumerate(model.pieces)}
+def log_total(word, prob):
+    """Logarithm of the sum over all segmentations, by the plain recurrence in logarithms."""
+    out = [0.0]
+    for j in range(1, len(word) + 1):
+        parts = []
+        for i in range(j):
+            p = max(prob.get(word[i:j], 0.0), langid.FLOOR if j - i == 1 else 0.0)
+            if p:
+                parts.append(out[i] + math.log(p))
+        top = max(parts)
+        out.append(top + math.log(sum(math.exp(x - top) for x in parts)))
+    return out[-1]
 
-    def total(text):
+
+def test_forward_sums_all_segmentations():
+    """Short words against enumeration, words of hundreds of letters against the recurrence in logarithms."""
+    pieces = [" a", " ab", "a", "ab", "abcabcabcabcabcabcab", "b", "ba", "c"]
+    model = langid.PieceModel(pieces, ["x", "y"])
+    rng, pick = np.random.default_rng(0), random.Random(3)
+    model.logp = np.log(rng.uniform(1e-5, 0.3, (len(pieces), 2)))
+    probs = [{p: math.exp(model.logp[k, lang]) for k, p in enumerate(pieces)} for lang in range(2)]
+
+    def total(text, prob):
         if not text:
-            return np.ones(2)
-        out = np.zeros(2)
-        for k in range(1, len(text) + 1):
-            p = prob.get(text[:k], np.zeros(2))
-            out = out + (np.maximum(p, 1e-7) if k == 1 else p) * total(text[k:])
-        return out
+            return 1.0
+        return sum((max(prob.get(text[:k], 0), langid.FLOOR) if k == 1 else prob.get(text[:k], 0)) * total(text[k:], prob) for k in range(1, len(text) + 1))
 
     for word in ("a", "ab", "abba", "cab", "zab"):
-        assert np.allclose(model.word_logp([word])[0], np.log(total(" " + word)))
+        assert np.allclose(model.word_logp([word])[0], [math.log(total(" " + word, p)) for p in probs])
+    words = ["abc" * 40, "".join(pick.choice("abcz") for _ in range(500)), "a" * 33, "z" * 400]
+    assert np.allclose(model.word_logp(words), [[log_total(" " + w, p) for p in probs] for w in words])
+
+
+def test_expected_counts_of_long_words():
+    """Forward and backward sums give each piece's expected count: the derivative of the word's log probability."""
+    pieces = [" a", "a", "ab", "abca", "b", "ba", "c"]
+    model, rng = langid.PieceModel(pieces, ["x"]), np.random.default_rng(2)
+    prob = rng.uniform(0.01, 0.3, len(pieces))
+    for word in ("abcab", "abcaz" * 30):
+        got = np.zeros(len(pieces))
+        ((_, codes),) = model._batches([word])
+        model._expect(codes, np.array([2.0]), prob, got)
+        for k, p in enumerate(pieces):
+            up, down = prob.copy(), prob.copy()
+            up[k], down[k] = up[k] * 1.0001, down[k] * 0.9999
+            slope = (log_total(" " + word, dict(zip(pieces, up))) - log_total(" " + word, dict(zip(pieces, down)))) / 0.0002
+            assert abs(got[k] - 2 * slope) < 1e-3 * max(1, got[k]), p
+
+
+def test_every_piece_is_found():
+    pieces = langid.vocabulary(BYTE)
+    trie = langid.Trie(pieces)
+    for k in range(0, len(pieces), 7):
+        codes = np.array([list(map(ord, pieces[k]))], np.int64)
+        assert pieces[k] in {pieces[p[0]] for j, _, p in trie.at(codes, 0) if j == len(pieces[k])}
+    assert max(map(len, pieces)) > 8
+
+
+def test_languages_that_tie():
+    model = langid.PieceModel(["a", "b"], ["x", "y"])
+    model.logp = np.log(np.full((2, 2), 0.5))
+    assert model.predict(["ab a", "b" * 3000], langid.Scored()) == [("x", 0.5), ("x", 0.5)]
 
 
 def test_languages_held_out(spark, larger):
