@@ -70,9 +70,12 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
 
     weight is the right side's column with the number of left rows of a key. Keys with more than
     total / share rows are fewer than share, so that part is broadcast and its left rows stay where they
-    are; no key of the shuffled rest has more than that part of the rows.
+    are; no key of the shuffled rest has more than that part of the rows. Without such keys it is a plain join.
+    The right side is evaluated more than once, so it should be a written table.
     """
     bound = max(total // share, 100)
+    if not right.where(F.col(weight) > bound).limit(1).collect():
+        return left.join(right, keys, how)
     hot = F.broadcast(right.where(F.col(weight) > bound))
     rest = right.where(F.col(weight) <= bound)
     cold = left.join(F.broadcast(right.where(F.col(weight) > bound).select(*keys)), keys, "left_anti")

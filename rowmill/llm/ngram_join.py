@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize, row_keys, without_rows
+from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize, one_thread, row_keys, without_rows
 from rowmill.llm.tokens import Recent
 
 #: Most classes and n-grams of a block, and blocks that a group of at least SPREAD_ROWS classes for each is spread over anyway.
-BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 2_000_000, 16, 256
+BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 2_000_000, 16, 128
 
 
 #: How much of its buckets' work a component's may be at most to be verified whole.
@@ -106,7 +106,7 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
         flat = out.ravel()
         for k in np.unique(count[count <= m // 10]):
             cols = np.flatnonzero(count == k)
-            step = max(1, 4_000_000 // (k * k))
+            step = max(1, 1_000_000 // (k * k))
             for at in range(0, len(cols), step):
                 members = row[start[cols[at : at + step], None] + np.arange(k)]
                 pairs, times = np.unique((members[:, :, None] * m + members[:, None, :]).ravel(), return_counts=True)
@@ -138,6 +138,7 @@ def _verify(threshold: float):
         A group made of one band's bucket counts only links whose two classes share no earlier band, so that a pair that
         meets in many buckets counts once.
         """
+        one_thread()
         rows = rows.sort_values("node")
         sets = [np.asarray(g, np.int64) for g in rows["grams"]]
         size = np.array([len(s) for s in sets], np.float32)
@@ -161,25 +162,25 @@ def _verify(threshold: float):
     return verify
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, key_col: str | None, n: int, threshold: float, recall: float) -> DataFrame:
-    """For each row: key, doc_id, class_id, n_links, copy_of, n_copies and kept (one row of each class)."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, key_col: str, n: int, threshold: float, recall: float) -> DataFrame:
+    """For each row of a written table: key, doc_id, class_id, n_links, copy_of, n_copies and kept (one row of each class)."""
     bands, rows = banding(threshold, recall)
-    key = F.col(key_col) if key_col else F.monotonically_increasing_id()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, texts in arrow_rows(batches, "key", "id", "text"):
+        one_thread()
+        for keys, ids, texts in arrow_rows(batches, "key", "id", "text", most=500):
             sets = [grams(t, n) for t in texts]
             lo = np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             hi = np.array([_mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             band = [band_hashes(s, bands, rows) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lo), pa.array(hi), pa.array(band, pa.list_(pa.int64()))], names=["key", "id", "text", "n", "lo", "hi", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(lo), pa.array(hi), pa.array(band, pa.list_(pa.int64()))], names=["key", "id", "n", "lo", "hi", "bands"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, texts in arrow_rows(batches, "node", "text", most=500):
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([grams(t, n).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["node", "grams"])
 
-    source = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "key long, id long, text string, n long, lo long, hi long, bands array<long>"), "signed")
+    source = docs.select(F.col(key_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = materialize(source.mapInArrow(sign, "key long, id long, n long, lo long, hi long, bands array<long>"), "signed")
     total = signed.count()
 
     # one class for each set of n-grams; its node is the key of its first row: smallest id, null last
@@ -212,7 +213,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, key_col: str | None, n
     grouped = grouped.join(classes.select("node", "copies", "bands"), "node").withColumn("bands", F.slice("bands", 1, F.greatest(F.col("kind") - 1, F.lit(0))))
 
     wanted = materialize(groups.select("node").distinct(), "wanted")
-    sets = signed.select(F.col("key").alias("node"), "text").join(wanted, "node").mapInArrow(full, "node long, grams array<long>")
+    sets = source.select(F.col("key").alias("node"), "text").join(wanted, "node").mapInArrow(full, "node long, grams array<long>")
     sets = materialize(sets, "sets").join(grouped, "node")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     sets = sets.select("node", "copies", "kind", "group", "bands", "blk", "grams", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
@@ -246,7 +247,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        to the memberships, however full a bucket is. Their components hold all candidate pairs.
     3. A component is verified as one group if that is less work than verifying its buckets one by one, as with copies of
        one text; components that only chain are verified by bucket, buckets of the same members once. Classes in groups
-       get their full sets, once for each group; a group of more than 256 classes or two million n-grams is split into
+       get their full sets, once for each group; a group of more than 128 classes or two million n-grams is split into
        blocks (of 2048 at most), and tasks verify one block or one pair of blocks. All pairs of a group are verified in memory
        by matrix products; only counts and a spanning forest come out, never pairs.
     4. Components of the verified forest are the classes' ids.
@@ -256,7 +257,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     comes after all ids. An empty table gives no rows; other columns are ignored. Work on one group of mutually similar,
     different texts grows with the square of its size, in memory of fixed blocks. Building the result runs the steps.
     """
-    return _classes(docs, id_col, text_col, None, n, threshold, recall).drop("key", "kept")
+    keyed, key = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "keyed")
+    return _classes(keyed, "id", "text", key, n, threshold, recall).drop("key", "kept")
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
