@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowmill.llm.common import join_hot, materialize
+from rowmill.llm.common import join_hot, materialize, one_thread
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -251,7 +251,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                for q, x, bound in zip(rows["q"], rows["x"], rows["bound"]):
+                asked, cell = [], []
+                for n, (x, bound) in enumerate(zip(rows["x"], rows["bound"])):
                     scale = math.sqrt(norm2) / math.sqrt(float((x * x).sum()))
                     spot = (np.append(x * scale, 0.0) @ projection(len(x), dims))[None]
                     far = cells.distance2(spot[0])
@@ -259,8 +260,11 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "
                     far[own] = np.where(np.isfinite(far[own]), -1.0, np.inf)
                     order = np.argsort(far, kind="stable")[begin:end]
                     limit = quantile * (2 * norm2 - 2 * scale * bound) + 1e-9 * norm2 if bound is not None and bound == bound else np.inf
-                    order = order[np.isfinite(far[order]) & (far[order] <= limit)] if begin else order[far[order] < np.inf]
-                    yield pd.DataFrame({"q": q, "x": [x] * len(order), "bound": bound, "cell": order.astype(np.int32)})
+                    order = order[np.isfinite(far[order]) & (far[order] <= limit)]
+                    asked += [n] * len(order)
+                    cell.append(order)
+                if asked:
+                    yield rows.iloc[asked].assign(cell=np.concatenate(cell).astype(np.int32))
 
         return run
 
@@ -270,6 +274,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "
         return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "copy": [rows["copy"].iloc[0]], "asked": [data]})
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for rows in batches:
             for data, queries in zip(rows["data"], rows["asked"]):
                 q, x, bounds = pickle.loads(queries)

@@ -392,7 +392,7 @@ def test_neighbours_are_exact():
 
     example = [vector(c) for c in kept]
     for text in [*texts[:40], " ".join(pick(1) + ["unheardof"] * 3), "the unknown"]:
-        count, *passage = index.passages([text])
+        count, _, *passage = index.passages([text])
         got = defaultdict(list)
         for who, place, cosine in zip(*index.neighbours(int(count.sum()), *passage)):
             got[who].append((place, cosine))
@@ -576,6 +576,14 @@ def test_neighbours_recall_on_the_table(spark):
     assert np.mean(hit) >= 0.9
 
 
+def test_neighbours_in_cells_far_apart(spark):
+    """Most queries need no second round, and one row has no cell but its own."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.eye(6) * 100, 100, axis=0) + rng.standard_normal((600, 6)) * 0.01
+    rows = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), shard_rows=30).collect()
+    assert len(rows) == 600 and all(r["vec_id"] // 100 == r["query_id"] // 100 for r in rows)
+
+
 def test_neighbours_in_double_precision(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((400, 8)) * (1 + 1e-9)
