@@ -392,16 +392,19 @@ def test_neighbours_are_exact():
 
     example = [vector(c) for c in kept]
     for text in [*texts[:40], " ".join(pick(1) + ["unheardof"] * 3), "the unknown"]:
-        count, _, *passage = index.passages([text])
+        count, *passage = index.passages([text])
         got = defaultdict(list)
         for who, place, cosine in zip(*index.neighbours(int(count.sum()), *passage)):
             got[who].append((place, cosine))
-        words = toxicity.words_of(text)
+        words, leans = toxicity.words_of(text), []
         for p in range(int(count.sum())):
             q = vector(Counter(t for w in words[p * toxicity.WINDOW : (p + 1) * toxicity.WINDOW] for t in toxicity.terms_of(w)))
             cosine = np.array([sum(x * e.get(t, 0) for t, x in q.items()) for e in example])
             best = [i for i in np.lexsort((np.arange(n), -np.round(cosine, 12)))[:9] if cosine[i] > 0]
             assert [i for i, _ in got[p]] == best and np.allclose([c for _, c in got[p]], cosine[best])
+            leans.append(cosine[index.label == 1].mean() - cosine[index.label == 0].mean())
+        first = sorted(sorted(range(len(leans)), key=lambda p: -round(leans[p], 12))[: toxicity.ASKED])
+        assert index._asked(count, *passage).tolist() == first
 
 
 def test_classifiers_awkward(spark, awkward, empty):
