@@ -1,14 +1,17 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate."""
+"""Secret scans: fixed patterns, and a character convolutional network over every other candidate.
+
+The network learns from the corpus: what the fixed patterns find is a finding, with the words that announce it cut
+away, and other candidates of the same texts are none; made findings of more kinds are added to both.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.llm.common import arrow_rows
@@ -19,8 +22,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex")
-#: What the network scores: a whole run of token characters, with a digit in it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+#: What the network scores: a whole run of token characters.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 Span = tuple[str, int, int]
 
@@ -37,30 +40,32 @@ def base_spans(text: str) -> list[Span]:
 
 
 # --- the network -------------------------------------------------------------------------------------------
-BEFORE, INSIDE, AFTER = 24, 48, 8
-WIDTH, FILTERS, EMBED = 5, 24, 12
+BEFORE, AFTER, WIDTH, FILTERS, EMBED, PIECE = 24, 8, 5, 24, 12, 50_000
+
+
+def codes_of(text: str) -> np.ndarray:
+    """A code for each character: 1 for any beyond ASCII; 0 is kept for padding."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(code < 128, code + 1, 1)
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes of a candidate and its context: 0 is padding, 1 any character beyond ASCII. A long candidate shows its first and last characters."""
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    code = lambda s: np.array([o + 1 if (o := ord(c)) < 128 else 1 for c in s], np.int64)
-    row = np.zeros(BEFORE + INSIDE + AFTER, np.int64)
-    before, after = code(text[max(0, start - BEFORE) : start]), code(text[end : end + AFTER])
-    row[BEFORE - len(before) : BEFORE] = before
-    row[BEFORE : BEFORE + len(inside)] = code(inside)
-    row[BEFORE + INSIDE : BEFORE + INSIDE + len(after)] = after
-    return row
+Shown = tuple[np.ndarray, int, int]
+
+
+def shown(code: np.ndarray, start: int, end: int) -> Shown:
+    """The whole candidate with its context and one padding at either side, and where the candidate begins and ends in that."""
+    first = max(0, start - BEFORE)
+    return np.concatenate([[0], code[first:start], code[start:end], code[end : end + AFTER], [0]]), start - first + 1, end - first + 1
 
 
 class CharNetwork:
-    """Embedding, convolution, ReLU, maximum over the positions of each region (before, inside, after), logistic output."""
+    """Embedding, convolution, ReLU, maximum over each region (before, the whole candidate, after), logistic output. Candidates of any length."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p = {
             "e": rng.normal(0, 0.3, (129, EMBED)),
-            "w": rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)),
+            "w": rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH, EMBED, FILTERS)),
             "c": np.zeros(FILTERS),
             "o": rng.normal(0, 0.2, 3 * FILTERS),
             "b": np.zeros(1),
@@ -69,70 +74,80 @@ class CharNetwork:
         self.scale = (1.0, 0.0)
 
     @staticmethod
-    def _regions() -> list[slice]:
-        a, b = BEFORE - WIDTH // 2, BEFORE + INSIDE - WIDTH // 2
-        return [slice(0, a), slice(a, b), slice(b, None)]
-
-    def forward(self, codes: np.ndarray):
+    def _flat(batch: list[Shown]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All candidates in one row with padding between them; where their characters are, and where each region begins among these."""
+        pad = np.zeros(WIDTH // 2, np.int64)
+        flat = np.concatenate([pad, *(x for row, _, _ in batch for x in (row, pad))])
+        size = np.array([len(row) for row, _, _ in batch])
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat((np.arange(len(batch)) + 1) * len(pad), size)
+        region = np.stack([begin, begin + [a for _, a, _ in batch], begin + [b for _, _, b in batch]], axis=1).ravel()
+        return flat, at, region
+
+    def forward(self, flat: np.ndarray, at: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """The regions' maxima, a row for each candidate. Every character's share of the convolution is a table, so memory is bounded in pieces."""
+        table = self.p["e"] @ self.p["w"]  # place in the window, character, filter
+        top = np.zeros((len(region), FILTERS))
+        for start in range(0, len(at), PIECE):
+            part = at[start : start + PIECE]
+            conv = self.p["c"] + sum(table[k][flat[part + k - WIDTH // 2]] for k in range(WIDTH))
+            low, high = np.searchsorted(region, start, "right") - 1, np.searchsorted(region, start + len(part))
+            here = np.maximum(np.append(region[low:high], start)[: high - low] - start, 0)
+            top[low:high] = np.maximum(top[low:high], np.maximum.reduceat(conv, here, axis=0))
+        return top.reshape(-1, 3 * FILTERS)
+
+    def logits(self, batch: list[Shown]) -> np.ndarray:
+        return self.forward(*self._flat(batch)) @ self.p["o"] + self.p["b"][0] if batch else np.zeros(0)
+
+    def gradient(self, batch: list[Shown], label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss."""
+        flat, at, region = self._flat(batch)
         p = self.p
-        emb = p["e"][codes]
-        n, length, _ = emb.shape
-        win = np.lib.stride_tricks.sliding_window_view(emb, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(n, length - WIDTH + 1, WIDTH * EMBED)
-        conv = np.maximum(win @ p["w"] + p["c"], 0)
-        top = np.concatenate([conv[:, s].max(axis=1) for s in self._regions()], axis=1)
-        return win, conv, top, top @ p["o"] + p["b"][0]
-
-    def logits(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(codes[k : k + 256])[3] for k in range(0, len(codes), 256)]) if len(codes) else np.zeros(0)
-
-    def train(self, codes: np.ndarray, label: np.ndarray, steps: int = 240, batch: int = 64, rate: float = 0.012, seed: int = 8) -> None:
+        window = flat[at[:, None] + np.arange(WIDTH) - WIDTH // 2]
+        emb = p["e"][window]
+        conv = np.tensordot(emb, p["w"], axes=([1, 2], [0, 1])) + p["c"]
+        where = np.stack([a + conv[a:b].argmax(axis=0) for a, b in zip(region, np.append(region[1:], len(at)))])
+        best = np.take_along_axis(conv, where, axis=0)
+        top = np.maximum(best, 0).reshape(len(batch), -1)
+        dz = (1 / (1 + np.exp(-np.clip(top @ p["o"] + p["b"][0], -30, 30))) - label) / len(batch)
+        dbest = (dz[:, None] * p["o"]).reshape(best.shape) * (best > 0)
+        dconv = np.zeros_like(conv)
+        np.add.at(dconv, (where, np.arange(FILTERS)), dbest)
+        demb = np.tensordot(dconv, p["w"], axes=([1], [2]))
+        de = np.zeros_like(p["e"])
+        np.add.at(de, window, demb)
+        return {"o": top.T @ dz, "b": np.array([dz.sum()]), "c": dconv.sum(axis=0), "w": np.tensordot(emb, dconv, axes=([0], [0])), "e": de}
+
+    def train(self, rows: list[Shown], label: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 8) -> None:
+        """Adam over batches that hold as many findings as others."""
         rng = np.random.default_rng(seed)
+        sides = [np.flatnonzero(label == y) for y in (0, 1)]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(codes), batch)
-            x, y = codes[pick], label[pick]
-            win, conv, top, z = self.forward(x)
-            dz = (1 / (1 + np.exp(-z)) - y) / batch
-            grad = {"o": top.T @ dz, "b": np.array([dz.sum()])}
-            dtop = dz[:, None] * self.p["o"][None, :]
-            dconv = np.zeros_like(conv)
-            rows = np.arange(batch)[:, None]
-            for k, s in enumerate(self._regions()):
-                part = conv[:, s]
-                where = part.argmax(axis=1) + (s.start or 0)
-                dconv[rows, where, np.arange(FILTERS)[None, :]] += dtop[:, k * FILTERS : (k + 1) * FILTERS]
-            dconv *= conv > 0
-            flat = dconv.reshape(-1, FILTERS)
-            grad["w"], grad["c"] = win.reshape(-1, WIDTH * EMBED).T @ flat, flat.sum(axis=0)
-            dwin = (flat @ self.p["w"].T).reshape(batch, -1, WIDTH, EMBED)
-            demb = np.zeros((batch, x.shape[1], EMBED))
-            for k in range(WIDTH):
-                demb[:, k : k + dwin.shape[1]] += dwin[:, :, k]
-            grad["e"] = np.zeros_like(self.p["e"])
-            np.add.at(grad["e"], x, demb)
-            for k, g in grad.items():
+            pick = np.concatenate([rng.choice(side, batch // 2) for side in sides])
+            for k, g in self.gradient([rows[i] for i in pick], label[pick]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, label: np.ndarray, recall: float) -> None:
-        """Platt scaling on rows kept apart, and the highest cut that keeps the wanted recall there, never below even odds."""
-        z = self.logits(codes)
+    def calibrate(self, rows: list[Shown], label: np.ndarray, recall: float) -> None:
+        """Platt scaling on rows kept apart, and the highest cut that keeps the wanted recall there, whatever else it lets through."""
+        z = self.logits(rows)
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a, b = a - 0.05 * ((p - label) * z).mean(), b - 0.05 * (p - label).mean()
         self.scale = (float(a), float(b))
         found = np.sort(z[label == 1])
-        self.cut = max(float(found[int((1 - recall) * len(found))]), -self.scale[1] / max(self.scale[0], 1e-6))
+        self.cut = float(found[int((1 - recall) * len(found))])
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(codes) + self.scale[1], -30, 30)))
+    def score(self, rows: list[Shown]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(rows) + self.scale[1], -30, 30)))
 
 
-def labelled_findings(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A made set of labelled findings: keys, tokens and hashes after words that announce them, and what only looks like them (words with
+def made_findings(count: int, seed: int) -> tuple[list[Shown], np.ndarray]:
+    """A made set of labelled findings, half of them true: keys, tokens and hashes after words that announce them, and what only looks like them (words with
     numbers, versions, dates, paths, addresses, long numbers, identifiers)."""
     rng = np.random.default_rng(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -157,6 +172,9 @@ def labelled_findings(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{rng.integers(1000, 9999)}-{rng.integers(1000, 9999)}-{rng.integers(1000, 9999)}-{rng.integers(1000, 9999)}",
         lambda: f"+{draw(digit, 2, 3)}-{draw(digit, 3, 4)}-{draw(digit, 3, 4)}-{draw(digit, 4, 5)}",
         lambda: word() + word() + word() + str(rng.integers(0, 2030)),
+        lambda: "".join(word() for _ in range(int(rng.integers(4, 9)))),
+        lambda: "".join(word() for _ in range(int(rng.integers(4, 9)))).title(),
+        lambda: "".join(word() for _ in range(int(rng.integers(4, 9)))).upper(),
         lambda: "=" * int(rng.integers(8, 20)) + str(rng.integers(0, 9)) + "=" * int(rng.integers(8, 20)),
     ]
     rows, label = [], []
@@ -165,24 +183,58 @@ def labelled_findings(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         body = (secret if positive else plain)[rng.integers(0, len(secret if positive else plain))]()
         lead = " ".join(word() for _ in range(4)) + (rng.choice([" key: ", " token ", " auth=", " id ", " ", " bearer "]) if positive else rng.choice([" ", " see ", " call ", " at ", "\n"]))
         text = lead + body + rng.choice([" ", ". ", "\n", ", "]) + word()
-        rows.append(encode(text, len(lead), len(lead) + len(body)))
+        rows.append(shown(codes_of(text), len(lead), len(lead) + len(body)))
         label.append(float(positive))
-    return np.array(rows), np.array(label)
+    return rows, np.array(label)
+
 
+def _split(rows: list, label: np.ndarray) -> tuple[tuple, tuple]:
+    """Three in four to learn from, and every fourth kept apart, in a mixed order."""
+    apart = np.random.default_rng(5).permutation(len(rows)) % 4 == 3
+    return tuple(([r for r, x in zip(rows, apart) if x == side], label[apart == side]) for side in (False, True))
 
-@lru_cache(maxsize=1)
-def trained_network(recall: float = 0.98, count: int = 3000) -> CharNetwork:
-    """Trained on `count` labelled findings (the bound of its sample), calibrated on a third as many others. The same wherever it is trained."""
+
+def corpus_findings(docs: DataFrame, *, texts: int, findings: int, longest: int = 400) -> tuple[list[Shown], np.ndarray]:
+    """Labelled findings of the corpus: from some `texts` rows (those of the smallest hashes of their ids) at most so many of each label.
+
+    A base finding is one, without the words that announce it; a candidate outside all base findings is none. To learn
+    from, and only there, those of over `longest` characters are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (column,) in arrow_rows(batches, "text"):
+            out = []
+            for text in column:
+                base, _ = find(text, None)
+                for kind, a, b in base:
+                    value = ASSIGN.match(text, a, b).start(2) if kind == "assign" else a
+                    out.append((1, text[max(0, a - BEFORE) : a], text[value:b], text[b : b + AFTER]))
+                out += [(0, text[max(0, a - BEFORE) : a], text[a:b], text[b : b + AFTER]) for a, b in candidates(text or "", base)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("y", "before", "body", "after"), r)) for r in out if len(r[2]) <= longest], schema=pa.schema([("y", pa.int32()), *((c, pa.string()) for c in ("before", "body", "after"))]))
+
+    rows = docs.count()
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, texts / max(1, rows)))
+    seen = docs.where(part).select("text").limit(2 * texts).mapInArrow(run, "y int, before string, body string, after string")
+    order = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("body", "before", "after"), "body", "before", "after"))
+    found = sorted(tuple(r)[:4] for r in seen.withColumn("nth", order).where(F.col("nth") <= findings).collect())
+    made = [shown(codes_of(before + body + after), len(before), len(before) + len(body)) for _, before, body, after in found]
+    return made, np.array([float(y) for y, *_ in found])
+
+
+def train(docs: DataFrame, *, recall: float = 0.98, texts: int = 20_000, findings: int = 1500, made: int = 3000) -> CharNetwork:
+    """Trained on the corpus's findings and made ones, calibrated on every fourth of them kept apart. Repeats itself on the same rows."""
+    rows, label = made_findings(made, 11)
+    own, y = corpus_findings(docs, texts=texts, findings=findings)
+    parts = [_split(rows, label), _split(own, y)]
+    learn, apart = (([r for part in parts for r in part[k][0]], np.concatenate([part[k][1] for part in parts])) for k in (0, 1))
     net = CharNetwork()
-    net.train(*labelled_findings(count, 11))
-    net.calibrate(*labelled_findings(count // 3, 12), recall)
+    net.train(*learn)
+    net.calibrate(*apart, recall)
     return net
 
 
-def find(text: str | None, net: CharNetwork) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): every candidate outside the base spans is scored by the network; findings have the kind "network"."""
-    text = text or ""
-    base = base_spans(text)
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Where the candidates outside the base spans are."""
     taken: list[list[int]] = []
     for _, a, b in base:
         if taken and a <= taken[-1][1]:
@@ -195,25 +247,34 @@ def find(text: str | None, net: CharNetwork) -> tuple[list[Span], list[Span]]:
             k += 1
         if k == len(taken) or taken[k][0] >= m.end():
             spots.append(m.span())
-    more: list[Span] = []
+    return spots
+
+
+def find(text: str | None, net: CharNetwork | None) -> tuple[list[Span], list[Span]]:
+    """(base spans, all spans): every candidate outside the base spans is scored by the network; findings have the kind "network"."""
+    text = text or ""
+    base = base_spans(text)
+    spots = candidates(text, base) if net else []
+    if not spots:
+        return base, base
+    code, more = codes_of(text), []
     for at in range(0, len(spots), 256):
         part = spots[at : at + 256]
-        z = net.logits(np.array([encode(text, *s) for s in part]))
-        more += [("network", *s) for s, keep in zip(part, z >= net.cut) if keep]
+        more += [("network", *s) for s, z in zip(part, net.logits([shown(code, *s) for s in part])) if z >= net.cut]
     order = {k: i for i, k in enumerate((*KINDS, "network"))}
-    return base, sorted(base + more, key=lambda s: (s[1], order[s[0]])) if more else base
+    return base, sorted(base + more, key=lambda s: (s[1], order[s[0]]))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
 def scan(docs: DataFrame, *, recall: float = 0.98) -> DataFrame:
-    """doc_id, base spans and all spans for every row of docs (doc_id, text); code points, end exclusive.
+    """doc_id, base spans and all spans for every row of docs (doc_id, text); code points, end exclusive. Building the result trains the network.
 
     Null and empty texts have no spans, repeated rows are scanned each, null ids stay null, other columns are
     ignored, an empty table gives no rows. Whole texts are scanned in one pass, without a shuffle.
     """
-    net = trained_network(recall)
+    net = train(docs, recall=recall)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +295,7 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, *, mark: str = "[SECRET]", recall: float = 0.98) -> DataFrame:
     """docs with every finding replaced by the mark and n_chars to match; no row goes, null texts stay null."""
-    net = trained_network(recall)
+    net = train(docs, recall=recall)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

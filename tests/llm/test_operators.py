@@ -322,20 +322,58 @@ def test_secrets(spark, sf_dir, texts):
         assert set(written) <= set(r["spans"].split(",")) if written else True
 
 
-def test_secrets_in_random_text():
-    rng, net = random.Random(6), secrets.trained_network()
+@pytest.fixture(scope="module")
+def network(larger):
+    return secrets.train(larger[0])
+
+
+def test_secrets_in_random_text(network):
+    rng = random.Random(6)
     parts = ["PassWord", "apikey", "api_key", "ſecret", "toKen", "=", ":", '"', "'", " ", "abc123", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef", "deadbeefdeadbeef", "é", "\n", "x"]
     for _ in range(2000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
-        base, every = secrets.find(text, net)
+        base, every = secrets.find(text, network)
         assert base == plain_spans(text) and set(base) <= set(every)
 
 
-def test_secret_network_on_findings_kept_apart():
-    net = secrets.trained_network()
-    codes, label = secrets.labelled_findings(800, 77)
-    said = net.logits(codes) >= net.cut
-    assert said[label == 1].mean() > 0.95 and said[label == 0].mean() < 0.03
+def test_secret_network_on_findings_kept_apart(network, larger):
+    """On made findings of another seed, and on real texts: base findings without their triggers, and candidates outside them."""
+    rows, label = secrets.made_findings(800, 77)
+    said = network.logits(rows) >= network.cut
+    assert said[label == 1].mean() > 0.93 and said[label == 0].mean() < 0.06
+    real, y = secrets.corpus_findings(larger[0].where("doc_id % 2 = 1"), texts=100_000, findings=5000)
+    said = network.logits(real) >= network.cut
+    assert len(real) > 900 and said[y == 1].mean() > 0.95 and said[y == 0].mean() < 0.05
+
+
+def test_network_gradient():
+    net, rng = secrets.CharNetwork(), np.random.default_rng(1)
+    rows, label = secrets.made_findings(6, 5)
+    loss = lambda: float(np.mean(np.logaddexp(0, (z := net.logits(rows))) - label * z))
+    for name, g in net.gradient(rows, label).items():
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in g.shape)
+            keep = net.p[name][at]
+            net.p[name][at] = keep + 1e-6
+            up = loss()
+            net.p[name][at] = keep - 1e-6
+            slope = (up - loss()) / 2e-6
+            net.p[name][at] = keep
+            assert abs(slope - g[at]) < 1e-5, name
+
+
+def test_candidates_are_seen_whole(network, monkeypatch):
+    """A key amid thousands of harmless characters counts as much as alone, in pieces of any size."""
+    rng = random.Random(7)
+    key = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40))
+    for size in (0, 2000, 5000):
+        long = "and" * (size // 3) + key + "the" * (size // 3)
+        found = secrets.find(f"see {long} there", network)[1]
+        assert found == [("network", 4, 4 + len(long))], size
+    rows = [secrets.shown(secrets.codes_of(t), 3, len(t) - 2) for t in ("ab " + "x1" * 40 + " z", "éé " + key * 3 + "..", "   q" * 5)]
+    whole = network.logits(rows)
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    assert np.allclose(network.logits(rows), whole) and np.allclose([network.logits([r])[0] for r in rows], whole)
 
 
 def test_secrets_awkward(awkward, empty):
