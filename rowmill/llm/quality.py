@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.llm.common import one_thread
 from rowmill.llm.labelled import sample
@@ -48,6 +49,18 @@ class AttentionMil:
         z = np.add.reduceat(a[:, None] * h, start, axis=0)
         return h, v, u, a, bag, z, z @ p["o"] + p["c"][0]
 
+    def gradient(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted logistic loss, with a small penalty on W."""
+        x, start = np.concatenate(bags), np.cumsum([0, *(len(b) for b in bags[:-1])])
+        h, v, u, a, bag, z, s = self._forward(x, start)
+        ds = (1 / (1 + np.exp(-s)) - y) * weight / len(bags)
+        dz = ds[:, None] * self.p["o"]
+        dh, da = a[:, None] * dz[bag], (dz[bag] * h).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, start)[bag])
+        dv, du = de[:, None] * self.p["w"] * u * (1 - v * v), de[:, None] * self.p["w"] * v * u * (1 - u)
+        dh = (dh + dv @ self.p["V"].T + du @ self.p["U"].T) * (1 - h * h)
+        return {"o": z.T @ ds, "c": np.array([ds.sum()]), "w": (v * u).T @ de, "V": h.T @ dv, "U": h.T @ du, "W": x.T @ dh + 1e-4 * self.p["W"], "b": dh.sum(axis=0)}
+
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.01, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         every = np.concatenate(bags)
@@ -61,17 +74,8 @@ class AttentionMil:
             own = rng.permutation(own)
             for at in range(0, len(own), batch):
                 pick = own[at : at + batch]
-                x, start = np.concatenate([bags[k] for k in pick]), np.cumsum([0, *(len(bags[k]) for k in pick[:-1])])
-                h, v, u, a, bag, z, s = self._forward(x, start)
-                ds = (1 / (1 + np.exp(-s)) - y[pick]) * weight[pick] / len(pick)
-                dz = ds[:, None] * self.p["o"]
-                dh, da = a[:, None] * dz[bag], (dz[bag] * h).sum(axis=1)
-                de = a * (da - np.add.reduceat(a * da, start)[bag])
-                dv, du = de[:, None] * self.p["w"] * u * (1 - v * v), de[:, None] * self.p["w"] * v * u * (1 - u)
-                dh = (dh + dv @ self.p["V"].T + du @ self.p["U"].T) * (1 - h * h)
-                grad = {"o": z.T @ ds, "c": np.array([ds.sum()]), "w": (v * u).T @ de, "V": h.T @ dv, "U": h.T @ du, "W": x.T @ dh + 1e-4 * self.p["W"], "b": dh.sum(axis=0)}
                 step += 1
-                for k, g in grad.items():
+                for k, g in self.gradient([bags[k] for k in pick], y[pick], weight[pick]).items():
                     m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
         if len(set(y[apart])) == 2:
@@ -97,24 +101,33 @@ def train(docs: DataFrame, labels: DataFrame, *, per_class: int = 700) -> Attent
     return model
 
 
+def _scores(model: AttentionMil, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(model.score([passages(t) for t in texts.slice(k, 200).to_pylist()]) for k in range(0, len(texts), 200))])
+
+
 def score(docs: DataFrame, model: AttentionMil, *, threshold: float = 0.7) -> DataFrame:
     """docs' columns and score, predicted: every passage of every whole text is encoded and weighed.
 
     Null, empty and blank texts are one empty passage and get a score like any other; rows that repeat are
     scored each; columns named score or predicted are replaced. No shuffle.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     kept = docs.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            out = [np.zeros(0)]
-            for k in range(0, batch.num_rows, 200):
-                out.append(model.score([passages(t) for t in batch.column(at).slice(k, 200).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(model, batch.column(batch.schema.get_field_index("text"))))], names=[*names, "score"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"])
-    return kept.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def keep(docs: DataFrame, model: AttentionMil, *, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score at least the threshold, with docs' columns as they are, whatever their names. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(batch.schema.get_field_index("text"))) >= threshold))
 
+    return docs.mapInArrow(run, docs.schema)

@@ -393,6 +393,60 @@ def larger(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
+def plain_quality(model, text):
+    """The attention forward pass of one document, passage by passage, from the formula."""
+    p, states, weights = model.p, [], []
+    for x in quality.passages(text):
+        h = np.tanh(p["W"].T @ ((x - model.mean) / model.std) + p["b"])
+        gate = np.tanh(p["V"].T @ h) * (1 / (1 + np.exp(-(p["U"].T @ h))))
+        states.append(h)
+        weights.append(math.exp(min(30, max(-30, float(p["w"] @ gate)))))
+    z = sum(w * h for w, h in zip(weights, states)) / sum(weights)
+    return 1 / (1 + math.exp(-min(30, max(-30, model.scale[0] * float(p["o"] @ z + p["c"][0]) + model.scale[1]))))
+
+
+def test_quality_equals_the_plain_formula(spark, docs, texts):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert abs(got[i] - plain_quality(model, text)) < 1e-5, i
+    few = ["", None, "a", "word " * 200_000]
+    assert np.allclose(model.score([quality.passages(t) for t in few]), [plain_quality(model, t) for t in few], atol=1e-5)
+
+
+def test_quality_gradient():
+    """Gradients against differences of the loss; the batch's gradient is what training steps along."""
+    model, rng = quality.AttentionMil(), np.random.default_rng(3)
+    bags = [rng.normal(0, 1, (n, quality.FEATURES)) for n in (1, 4, 7)]
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 0.5, 2.0])
+
+    def loss():
+        s = model._forward(np.concatenate(bags), np.array([0, 1, 5]))[-1]
+        return float((weight * (np.logaddexp(0, s) - y * s)).sum() / 3 + 0.5e-4 * (model.p["W"] ** 2).sum())
+
+    for name, g in model.gradient(bags, y, weight).items():
+        for _ in range(10):
+            at = tuple(rng.integers(0, n) for n in g.shape)
+            keep = model.p[name][at]
+            model.p[name][at] = keep + 1e-6
+            up = loss()
+            model.p[name][at] = keep - 1e-6
+            slope = (up - loss()) / 2e-6
+            model.p[name][at] = keep
+            assert abs(slope - g[at]) < 1e-5, name
+
+
+def test_quality_keeps_columns_of_any_name(spark, docs):
+    named = docs.withColumn("score", F.lit("orig")).withColumn("Predicted", F.lit(-1)).withColumn("_digest", F.lit("d"))
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    left = quality.keep(named, model)
+    want = {r["doc_id"] for r in quality.score(docs, model).where("predicted = 1").collect()}
+    assert left.columns == named.columns and {r["doc_id"] for r in left.collect()} == want
+    assert {(r["score"], r["Predicted"], r["_digest"]) for r in left.collect()} == {("orig", -1, "d")}
+
+
 @pytest.mark.parametrize(("name", "label", "mod", "held"), [("op5_toxicity", "toxic", 3, 1), ("op10_quality", "quality", 4, 2)])
 def test_classifiers_on_labels_held_out(spark, larger, name, label, mod, held):
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.1")
@@ -482,6 +536,40 @@ def test_licenses_by_diagonals(spark):
     assert all(want[k] in got[k]["labels"].split(",") for k in want) and got[99]["labels"] == "" and got[99]["score"] < 0.8
 
 
+def test_license_votes_stay_with_their_row(spark):
+    """Halves of a notice in two rows without an id, or with one id, make no whole; templates are a parameter."""
+    half = licenses.TEMPLATES[10][1].split()
+    a, b = " ".join(half[:9]), " ".join(half[9:])
+    rows = [(None, a), (None, b), (7, a), (7, b), (None, " ".join(half)), (8, "the quick brown fox jumps over the dog")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r["labels"] for r in licenses.scan(docs).collect()) == Counter({"": 5, "isc": 1})
+    own = licenses.scan(docs, templates=[("fox", "quick brown fox jumps")]).collect()
+    assert Counter((r["doc_id"], r["labels"]) for r in own if r["labels"]) == Counter({(8, "fox"): 1})
+    assert next(r["spans"] for r in own if r["labels"])[0].asDict() == {"label": "fox", "start": 1, "end": 5, "cover": 1.0}
+
+
+def test_license_votes_equal_plain_voting(spark, docs, texts):
+    """Candidate spans against a loop over every pair of a text's and a template's k-grams."""
+    keyed = docs.select("doc_id", "text").withColumn("k", F.col("doc_id"))
+    got = {r["key"]: sorted((s["template"], s["first"], s["end"]) for s in r["spans"]) for r in licenses.spans_by_vote(keyed, "k", licenses.TEMPLATES).collect()}
+    want = {}
+    for i, text in texts.items():
+        words, found = licenses.words_of(text), []
+        for n, (_, template) in enumerate(licenses.TEMPLATES):
+            t = template.encode().split()
+            hits = sorted((p - q, p) for p in range(len(words) - 2) for q in range(len(t) - 2) if words[p : p + 3] == t[q : q + 3])
+            group: list = []
+            for d, p in [*hits, (10**9, 0)]:
+                if group and d - group[-1][0] > 2:
+                    if len(group) >= max(1, 0.5 * (len(t) - 2)):
+                        found.append((n, min(x for _, x in group), max(x for _, x in group) + 3))
+                    group = []
+                group.append((d, p))
+        if found:
+            want[i] = sorted(found)
+    assert got == want and len(want) > 3
+
+
 def test_licenses_awkward(awkward, empty):
     rows = licenses.scan(awkward).collect()
     assert len(rows) == len(AWKWARD) and licenses.scan(empty).count() == 0
