@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.errors import AvroError
-from rowmill.plans.decode import decoder, json_value, read_value
+from rowmill.plans.decode import Decoder, decoder, json_value, read_value
 from rowmill.plans.encode import compiled
 from rowmill.plans.project import check_projection, project_paths
 from rowmill.schema import Schema
@@ -54,8 +54,19 @@ def avro_encode(col: Column, schema: str | Schema, schemata: list[str] | None =
     return F.arrow_udf(encode, T.BinaryType())(col)
 
 
-def avro_decode(col: Column, schema: str | Schema, *, reader: str | Schema | None = None, projection: str | Schema | None = None, columns: list[str] | None = None, schemata: list[str] | None = None, max_value_bytes: int = 512 << 20) -> Column:
-    """The value of bytes that hold exactly one, resolved to a reader's schema, or projected. Bytes left over are an error; a null row is null."""
+def _readable(d: Decoder, data: bytes, limit: int) -> bool:
+    """Whether bytes hold exactly one value; nothing is kept of them."""
+    try:
+        return len(data) <= limit and d.run(data, 0, 1, d.lists()) == len(data)
+    except AvroError:
+        return False
+
+
+def avro_decode(col: Column, schema: str | Schema, *, reader: str | Schema | None = None, projection: str | Schema | None = None, columns: list[str] | None = None, schemata: list[str] | None = None, max_value_bytes: int = 512 << 20, permissive: bool = False) -> Column:
+    """The value of bytes that hold exactly one, resolved to a reader's schema, or projected. Bytes left over are an error; a null row is null.
+
+    An error fails the query, or makes its row null if permissive (bytes are then read twice).
+    """
     writer = inlined(schema, schemata)
     wanted = writer
     if columns is not None:
@@ -74,6 +85,8 @@ def avro_decode(col: Column, schema: str | Schema, *, reader: str | Schema | Non
         for k, data in enumerate(values.to_pylist()):
             if data is None:
                 continue
+            if permissive and not _readable(d, data, max_value_bytes):
+                continue
             if len(data) > max_value_bytes:
                 raise AvroError(f"a value of {len(data)} bytes exceeds the limit of {max_value_bytes}")
             if d.run(data, 0, 1, lists) != len(data):

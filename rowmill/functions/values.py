@@ -127,6 +127,14 @@ def map_value(col: Column, key: str, strict: bool = True) -> Column:
     return F.when(~F.map_contains_key(col, F.lit(key)), F.raise_error(F.lit(f"no key {key}"))).otherwise(got) if strict else got
 
 
+def map_has_key(col: Column, key: str) -> Column:
+    return F.map_contains_key(col, F.lit(key))
+
+
+def map_length(col: Column) -> Column:
+    return F.size(col)
+
+
 def type_name(col: Column) -> Column:
     """The Spark type's name; of a union, see union_branch."""
     return F.typeof(col)

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.errors import AvroError
 from rowmill.operators.rasters import gif_frames, tiff
@@ -384,28 +386,66 @@ def image_info(images: DataFrame, key: str, content: str = "content") -> DataFra
     return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, {INFO_SCHEMA}, error string")
 
 
+#: Samples of a batch of images, about.
+BATCH_SAMPLES = 4_000_000
+
+
 def image_samples(images: DataFrame, key: str, content: str = "content", **options: object) -> DataFrame:
     """key, width, height, channels, bits, strides and samples (rows, columns, channels in order) of images whose format is decoded, as numbers.
 
-    Nulls are left out; an image that cannot be decoded fails the query.
+    Nulls are left out; an image that cannot be decoded has the reason in `error` and no samples. Images come in batches of
+    some four million samples, which pass as numbers of an Arrow list, not one by one.
     """
+    names = [key, "width", "height", "channels", "bits", "strides", "samples", "error"]
+    stride = pa.struct([(n, pa.int64()) for n in ("width", "height", "channels")])
+
+    def table(keys: list, rows: list[np.ndarray | None], errors: list[str | None], kind: pa.DataType) -> pa.RecordBatch:
+        size = lambda k, t: pa.array([None if r is None else r.shape[k] for r in rows], t)
+        offsets = pa.array([0, *np.cumsum([0 if r is None else r.size for r in rows])], pa.int32())
+        numbers = np.concatenate([np.empty(0), *(r.ravel() for r in rows if r is not None)]).astype(np.float64)
+        samples = pa.ListArray.from_arrays(offsets, pa.array(numbers), mask=pa.array([r is None for r in rows]))
+        bits = pa.array([None if r is None else r.dtype.itemsize * 8 for r in rows], pa.int32())
+        strides = pa.array([None if r is None else {"width": r.shape[2], "height": r.shape[1] * r.shape[2], "channels": 1} for r in rows], stride)
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), size(1, pa.int64()), size(0, pa.int64()), size(2, pa.int32()), bits, strides, samples, pa.array(errors, pa.string())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, rows, errors, held = [], [], [], 0
             for at in range(batch.num_rows):
                 data = batch.column(1)[at].as_py()
                 if data is None:
                     continue
-                s = decode(data, **options)
-                h, w, c = s.shape
-                one = lambda v, t: pa.array([v], t)
-                stride = [{"width": c, "height": w * c, "channels": 1}]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 1), one(w, pa.int64()), one(h, pa.int64()), one(c, pa.int32()), one(s.dtype.itemsize * 8, pa.int32()), pa.array(stride, pa.struct([(n, pa.int64()) for n in ("width", "height", "channels")])), one(s.ravel().tolist(), pa.list_(pa.float64()))],
-                    names=[key, "width", "height", "channels", "bits", "strides", "samples"],
-                )
-
-    return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, width long, height long, channels int, bits int, strides struct<width:long,height:long,channels:long>, samples array<double>")
+                row, error = None, None
+                try:
+                    row = decode(data, **options)
+                except AvroError as e:
+                    error = str(e)
+                keys, rows, errors = [*keys, batch.column(0)[at].as_py()], [*rows, row], [*errors, error]
+                held += 0 if row is None else row.size
+                if held >= BATCH_SAMPLES:
+                    yield table(keys, rows, errors, batch.column(0).type)
+                    keys, rows, errors, held = [], [], [], 0
+            if keys:
+                yield table(keys, rows, errors, batch.column(0).type)
+
+    return images.select(key, content).mapInArrow(run, f"{key} {images.schema[key].dataType.simpleString()}, width long, height long, channels int, bits int, strides struct<width:long,height:long,channels:long>, samples array<double>, error string")
+
+
+def jvm_samples(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height, channels and samples as bytes (rows, columns; red, green, blue, alpha) of a folder of images, by the JVM's decoders, JPEG among them.
+
+    Files that the JVM cannot decode are left out, as Spark's own image source does.
+    """
+    i = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+
+    def turn(data: pa.Array, channels: pa.Array) -> pa.Array:
+        out = []
+        for d, c in zip(data.to_pylist(), channels.to_pylist()):
+            s = np.frombuffer(d, np.uint8).reshape(-1, c)
+            out.append((s if c == 1 else s[:, [2, 1, 0, *range(3, c)]]).tobytes())
+        return pa.array(out, pa.binary())
+
+    return i.select(F.col("origin").alias("path"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.col("nChannels").alias("channels"), F.arrow_udf(turn, T.BinaryType())("data", "nChannels").alias("samples"))
 
 
 def image_frames(images: DataFrame, key: str, content: str = "content") -> DataFrame:

@@ -24,6 +24,12 @@ def tumbling(events: DataFrame, time: str, width: str, late: str, *keys: str, va
     return w.select(F.col("window.start").alias("window_start"), *keys, "n", "total")
 
 
+def sliding(events: DataFrame, time: str, width: str, every: str, late: str, *keys: str, value: str) -> DataFrame:
+    """Counts and sums in windows that begin every so often and so overlap; rows later than `late` behind the newest are dropped."""
+    w = events.withWatermark(time, late).groupBy(F.window(time, width, every), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return w.select(F.col("window.start").alias("window_start"), *keys, "n", "total")
+
+
 def run_to_table(stream: DataFrame, tag: str, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and return its result as a batch table."""
     spark = stream.sparkSession

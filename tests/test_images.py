@@ -136,3 +136,30 @@ def test_tiff():
     with pytest.raises(AvroError):
         images.decode(tiff_file(row, meaning=1)[:40])
     assert images.info(tiff_file(px))["pixel_type"] == "F32"
+
+
+def test_jpeg_samples_by_the_jvm(spark, tmp_path):
+    """A red and a green image as JPEG, and a PNG with alpha, in the order red, green, blue, alpha; a file that is no image is left out."""
+    jvm = spark.sparkContext._jvm
+    for name, rgb in (("red", 0xFF0000), ("green", 0x00FF00)):
+        image = jvm.java.awt.image.BufferedImage(16, 8, 1)
+        for x in range(16):
+            for y in range(8):
+                image.setRGB(x, y, rgb)
+        assert jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / f"{name}.jpg")))
+    (tmp_path / "a.png").write_bytes(images.encode_png(np.array([[[10, 20, 30, 40]]], np.uint8)))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.jvm_samples(spark, str(tmp_path)).collect()}
+    assert set(got) == {"red.jpg", "green.jpg", "a.png"}
+    red, green = (np.frombuffer(got[n]["samples"], np.uint8).reshape(8, 16, 3) for n in ("red.jpg", "green.jpg"))
+    assert (got["red.jpg"]["width"], got["red.jpg"]["height"]) == (16, 8)
+    assert red[..., 0].min() > 230 and red[..., 1:].max() < 30 and green[..., 1].min() > 200
+    assert got["a.png"]["samples"] == bytes([10, 20, 30, 40])
+
+
+def test_samples_come_many_to_a_batch(spark, monkeypatch):
+    rows = [(k, images.encode_png(np.full((k % 3 + 1, 2, 1), k, np.uint8))) for k in range(40)] + [(40, None), (41, b"bad")]
+    df = spark.createDataFrame(rows, "k long, content binary").coalesce(1)
+    got = {r["k"]: r for r in images.image_samples(df, "k").collect()}
+    assert set(got) == {*range(40), 41} and got[41]["samples"] is None and got[41]["error"]
+    assert all(got[k]["samples"] == [float(k)] * (2 * (k % 3 + 1)) and got[k]["strides"]["height"] == 2 for k in range(40))
