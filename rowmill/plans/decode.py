@@ -9,6 +9,7 @@ arrays and maps in one jump.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ import pyarrow as pa
 
 from rowmill.errors import AvroError
 from rowmill.plans.project import check_projection, project_paths
-from rowmill.plans.wire import MAX_ITEMS, read_bytes, read_long, skip_numbers
+from rowmill.plans.wire import MAX_ITEMS, NUMBER, SHORT, Matchers, read_bytes, read_long, skip_items, skip_numbers
 from rowmill.schema import PROMOTIONS, Schema, can_read
 from rowmill.types import arrow_type, is_recursive, nullable_of
 
@@ -161,7 +162,7 @@ class Compiler:
         self.writer, self.wanted = writer, wanted
         self.lines: list[str] = []
         self.slots = self.vars = 0
-        self.env: dict[str, Any] = {"read_long": read_long, "skip_numbers": skip_numbers, "AvroError": AvroError, "unpack_f": struct.Struct("<f").unpack_from, "unpack_d": struct.Struct("<d").unpack_from, "uuid_text": _uuid, "dec": Decimal}
+        self.env: dict[str, Any] = {"read_long": read_long, "skip_numbers": skip_numbers, "skip_items": skip_items, "AvroError": AvroError, "unpack_f": struct.Struct("<f").unpack_from, "unpack_d": struct.Struct("<d").unpack_from, "uuid_text": _uuid, "dec": Decimal}
         self.used: set[int] = set()
 
     # columns
@@ -273,16 +274,25 @@ class Compiler:
             self.put(d + 2, "pos = end", "continue")
             self.put(d + 1, f"if {n} > {MAX_ITEMS}: raise AvroError(f'{{{n}}} items are too many')")
             numbers = self.numbers(w.items) if kind == "array" else None
+            pattern = self.pattern(w.items, kind == "map")
+            if self.width(w) == 0:
+                self.put(d + 1, "pass")
+                return
+            if pattern:  # a few items by one match, more by some
+                name = self.fresh("items_")
+                self.env[name], self.env[f"match_{name}"] = pattern, Matchers(pattern)
+                self.put(d + 1, f"m = match_{name}[{n}](buf, pos) if {n} <= 64 else None", "if m is not None:", "    pos = m.end()")
+                self.put(d + 2, "if pos < size and buf[pos] == 0:", "    pos += 1; break", "continue")
             if numbers:
                 self.put(d + 1, f"pos = skip_numbers(buf, pos, {n} * {numbers})")
-            elif self.width(w) == 0:
-                self.put(d + 1, "pass")
-            else:
-                self.put(d + 1, f"for {k} in range({n}):")
-                if kind == "map":
-                    self.length(d + 2)
-                    self.put(d + 2, "pos = end")
-                self.skip(d + 2, w.items)
+                return
+            if pattern:
+                self.put(d + 1, f"pos, {n} = skip_items({name}, buf, pos, {n})")
+            self.put(d + 1, f"for {k} in range({n}):")
+            if kind == "map":
+                self.length(d + 2)
+                self.put(d + 2, "pos = end")
+            self.skip(d + 2, w.items)
 
     def numbers(self, w: Schema) -> int | None:
         """How many numbers a value is, if it is nothing else."""
@@ -294,6 +304,27 @@ class Compiler:
             return sum(parts) if parts and None not in parts else None
         return None
 
+    def pattern(self, w: Schema, keyed: bool = False) -> bytes | None:
+        """A pattern of the bytes of most values, if there is one: numbers, short texts, fixed widths, and records and nullable unions of these."""
+        if keyed:
+            value = self.pattern(w)
+            return None if value is None else SHORT + value
+        w = w.resolved(self.writer.names)
+        kind = w.kind
+        if kind in ("int", "long", "enum"):
+            return NUMBER
+        if kind in ("bytes", "string"):
+            return SHORT
+        if kind in ("null", "boolean", "float", "double", "fixed"):
+            return b".{%d}" % (w.size if kind == "fixed" else {"null": 0, "boolean": 1, "float": 4, "double": 8}[kind])
+        if kind == "record" and not is_recursive(w, self.writer.names):
+            parts = [self.pattern(f.schema) for f in w.fields]
+            return None if None in parts else b"".join(parts)
+        if kind == "union" and len(w.branches) <= 8:
+            parts = [self.pattern(b) for b in w.branches]
+            return None if None in parts else b"(?>" + b"|".join(re.escape(bytes([2 * k])) + p for k, p in enumerate(parts)) + b")"
+        return None
+
     def width(self, w: Schema) -> int:
         """0 if the items of an array take no bytes."""
         if w.kind == "map":

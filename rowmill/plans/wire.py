@@ -46,6 +46,40 @@ def skip_numbers(buf: bytes, pos: int, count: int) -> int:
     return pos
 
 
+#: A number, and text or bytes of up to 63 bytes, as patterns; longer ones are stepped over one by one.
+NUMBER, SHORT = b"[\x80-\xff]{0,9}+[\x00-\x7f]", b"(?>" + b"|".join(re.escape(bytes([2 * k])) + b".{%d}" % k for k in [16, 8, 4, *(k for k in range(64) if k not in (4, 8, 16))]) + b")"
+
+
+@lru_cache(maxsize=4096)
+def _items(pattern: bytes, count: int):
+    return re.compile(b"(?:%s){%d}" % (pattern, count), re.S).match
+
+
+class Matchers(dict):
+    """For so many items of a pattern, the match of all of them at once."""
+
+    def __init__(self, pattern: bytes):
+        self.pattern = pattern
+
+    def __missing__(self, count: int):
+        self[count] = match = _items(self.pattern, count)
+        return match
+
+
+def skip_items(pattern: bytes, buf: bytes, pos: int, count: int) -> tuple[int, int]:
+    """(position, items left) after stepping over items of a pattern, by few matches; items are left from where one does not fit the pattern."""
+    while count:
+        part = count if count <= 16 else 1 << (min(count, 512).bit_length() - 1)
+        m = _items(pattern, part)(buf, pos)
+        while m is None and part > 1:
+            part //= 2
+            m = _items(pattern, part)(buf, pos)
+        if m is None:
+            return pos, count
+        pos, count = m.end(), count - part
+    return pos, 0
+
+
 def write_long(out: bytearray, n: int) -> None:
     n = (n << 1) ^ (n >> 63)
     while n > 0x7F:
