@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rowmill.sources.ocf import write_ocf
-from rowmill.sources.scratch import scratch
+from rowmill.sources.scratch import drop_at_exit, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,4 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_ocf(spark: SparkSession, df: DataFrame, tag: str, **options: object) -> str:
     path = scratch(spark, f"ocf-{tag}")
     write_ocf(df, path, **options)
+    drop_at_exit(spark, path)
     return path

@@ -24,3 +24,9 @@ def scratch(spark: SparkSession, tag: str) -> str:
             atexit.register(shutil.rmtree, _local, ignore_errors=True)
         root = f"file://{_local}"
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver's JVM delete an intermediate table that has been written when the application ends; until then results may read it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
