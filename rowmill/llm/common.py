@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.sources.scratch import scratch
+from rowmill.sources.scratch import drop_at_exit, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs one stage, not the whole job."""
+    """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs one stage, not the whole job; the table goes when the application ends."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
