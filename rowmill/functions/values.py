@@ -168,6 +168,24 @@ def equal_bytes(a: Column, b: Column) -> Column:
     return a.cast("binary").eqNullSafe(b.cast("binary"))
 
 
+def _as_bytes(col: Column, kind: T.DataType) -> Column:
+    """Text as its bytes at any depth, and maps as entries sorted by key, so that values of both can be compared."""
+    if isinstance(kind, T.StringType):
+        return col.cast("binary")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _as_bytes(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*(_as_bytes(col[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return F.transform(F.array_sort(F.map_keys(col)), lambda k: F.struct(_as_bytes(k, kind.keyType).alias("key"), _as_bytes(F.element_at(col, k), kind.valueType).alias("value")))
+    return col
+
+
+def equal_deep(a: Column, kind_a: T.DataType, b: Column, kind_b: T.DataType) -> Column:
+    """Equality at any depth, where text equals its bytes and maps are equal in any order of their entries; the kinds are the columns' types."""
+    return _as_bytes(a, kind_a).eqNullSafe(_as_bytes(b, kind_b))
+
+
 def recursive_to_variant(col: Column) -> Column:
     """Values of recursive types, which are read as JSON text, as variants."""
     return F.parse_json(col)

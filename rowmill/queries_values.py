@@ -223,6 +223,18 @@ def value_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT p_partkey, true AS same, p_size % 2 = 0 AS often, false AS never FROM part")
+def value_deep_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text in records, arrays and maps against the same bytes; maps with their entries in another order."""
+    text, raw = F.col("p_name"), F.col("p_name").cast("binary")
+    nested = lambda x, k, flip: F.struct(F.array(F.struct(x.alias("t"), k.alias("k"))).alias("list"), F.create_map(*([F.lit("b"), x, F.lit("a"), x] if flip else [F.lit("a"), x, F.lit("b"), x])).alias("m"))
+    size = F.col("p_size").cast("int")
+    df = table(spark, sf_dir, "part").select("p_partkey", nested(text, size, False).alias("x"), nested(raw, size, True).alias("y"), nested(raw, (size - size % 2).cast("int"), True).alias("z"))
+    deep = lambda a, b: values.equal_deep(F.col(a), df.schema[a].dataType, F.col(b), df.schema[b].dataType)
+    none = df.withColumn("none", F.lit(None).cast(df.schema["x"].dataType))
+    return none.select("p_partkey", deep("x", "y").alias("same"), deep("x", "z").alias("often"), values.equal_deep(F.col("x"), df.schema["x"].dataType, F.col("none"), df.schema["x"].dataType).alias("never"))
+
+
 _UNION_READER = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS branch, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::DOUBLE END AS number, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'other' ELSE ['red', 'green', 'blue'][c_custkey % 3 + 1] END AS color, c_custkey AS inner_key FROM customer"
 
 
