@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import arrow_rows
+from rowmill.llm.common import arrow_rows, release
 
 #: Fixed patterns. A kind's matches are leftmost and do not overlap; those that fail the length are dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -103,20 +103,16 @@ class CharNetwork:
         """Of the mean logistic loss."""
         flat, at, region = self._flat(batch)
         p = self.p
-        window = flat[at[:, None] + np.arange(WIDTH) - WIDTH // 2]
-        emb = p["e"][window]
-        conv = np.tensordot(emb, p["w"], axes=([1, 2], [0, 1])) + p["c"]
+        table = p["e"] @ p["w"]
+        conv = p["c"] + sum(table[k][flat[at + k - WIDTH // 2]] for k in range(WIDTH))
         where = np.stack([a + conv[a:b].argmax(axis=0) for a, b in zip(region, np.append(region[1:], len(at)))])
         best = np.take_along_axis(conv, where, axis=0)
         top = np.maximum(best, 0).reshape(len(batch), -1)
         dz = (1 / (1 + np.exp(-np.clip(top @ p["o"] + p["b"][0], -30, 30))) - label) / len(batch)
         dbest = (dz[:, None] * p["o"]).reshape(best.shape) * (best > 0)
-        dconv = np.zeros_like(conv)
-        np.add.at(dconv, (where, np.arange(FILTERS)), dbest)
-        demb = np.tensordot(dconv, p["w"], axes=([1], [2]))
-        de = np.zeros_like(p["e"])
-        np.add.at(de, window, demb)
-        return {"o": top.T @ dz, "b": np.array([dz.sum()]), "c": dconv.sum(axis=0), "w": np.tensordot(emb, dconv, axes=([0], [0])), "e": de}
+        slots = [flat[at[where] + k - WIDTH // 2] * FILTERS + np.arange(FILTERS) for k in range(WIDTH)]  # only the maxima count
+        dtable = np.stack([np.bincount(s.ravel(), dbest.ravel(), minlength=len(p["e"]) * FILTERS).reshape(-1, FILTERS) for s in slots])
+        return {"o": top.T @ dz, "b": np.array([dz.sum()]), "c": dbest.sum(axis=0), "w": p["e"].T @ dtable, "e": (dtable @ p["w"].transpose(0, 2, 1)).sum(axis=0)}
 
     def train(self, rows: list[Shown], label: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 8) -> None:
         """Adam over batches that hold as many findings as others."""
@@ -309,6 +305,7 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", recall: float = 0.98) ->
                         end = b
                 out.append("".join([*parts, text[end:]]) if parts else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+        release()
 
     cleaned = docs.mapInArrow(clean, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
