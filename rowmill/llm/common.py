@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import ctypes.util
 import glob
 import os
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    name = ctypes.util.find_library("c")
+    library = ctypes.CDLL(name) if name else None
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system: a worker lives on after its task, and another stage's may stand beside it."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 @lru_cache(maxsize=1)
 def one_thread() -> bool:
     """Let numpy's matrix products run on one thread in this process, as a task has one core; True if its library was found."""
@@ -84,11 +99,12 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch], *names: str, most: int = 2000) -> Iterator[list[list]]:
-    """Columns as Python lists, in slices of at most so many rows."""
+    """Columns as Python lists, in slices of at most so many rows; at the end of a task free memory is given back."""
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
+    release()
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

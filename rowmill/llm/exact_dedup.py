@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import join_hot, materialize, row_keys, without_rows
+from rowmill.llm.common import join_hot, materialize, release, row_keys, without_rows
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: A run's columns in the order of the merge: cp is negative, so that the most code points come first; a null id comes last.
@@ -73,6 +73,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield given()
+    release()
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, key_col: str | None = None) -> DataFrame:

@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize, one_thread, row_keys, without_rows
+from rowmill.llm.common import arrow_rows, connected_components, join_hot, materialize, one_thread, release, row_keys, without_rows
 from rowmill.llm.tokens import Recent
 
 #: Most classes and n-grams of a block, and blocks that a group of at least SPREAD_ROWS classes for each is spread over anyway.
-BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 2_000_000, 16, 128
+BLOCK_ROWS, BLOCK_GRAMS, SPREAD, SPREAD_ROWS = 2048, 1_000_000, 16, 128
 
 
 #: How much of its buckets' work a component's may be at most to be verified whole.
@@ -44,7 +44,7 @@ def _word(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
-_words = Recent(_word, most=150_000)
+_words = Recent(_word, most=60_000)
 
 
 def grams(text: str | None, n: int) -> np.ndarray:
@@ -157,6 +157,8 @@ def _verify(threshold: float):
             counted = counted & (hashes[:, None] != hashes[None, :])
         links = counted @ rows["copies"].to_numpy(np.float64)
         some = linked.any(axis=1)
+        if len(rows) >= 64:
+            release()
         return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "first": ids[root][some]})
 
     return verify
@@ -247,7 +249,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
        to the memberships, however full a bucket is. Their components hold all candidate pairs.
     3. A component is verified as one group if that is less work than verifying its buckets one by one, as with copies of
        one text; components that only chain are verified by bucket, buckets of the same members once. Classes in groups
-       get their full sets, once for each group; a group of more than 128 classes or two million n-grams is split into
+       get their full sets, once for each group; a group of more than 128 classes or a million n-grams is split into
        blocks (of 2048 at most), and tasks verify one block or one pair of blocks. All pairs of a group are verified in memory
        by matrix products; only counts and a spanning forest come out, never pairs.
     4. Components of the verified forest are the classes' ids.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowmill.llm.common import one_thread
+from rowmill.llm.common import one_thread, release
 from rowmill.llm.labelled import sample
 
 WORDS, BINS = 64, 129
@@ -118,6 +118,7 @@ def score(docs: DataFrame, model: AttentionMil, *, threshold: float = 0.7) -> Da
         one_thread()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(model, batch.column(batch.schema.get_field_index("text"))))], names=[*names, "score"])
+        release()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -129,5 +130,6 @@ def keep(docs: DataFrame, model: AttentionMil, *, threshold: float = 0.7) -> Dat
         one_thread()
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(batch.schema.get_field_index("text"))) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
