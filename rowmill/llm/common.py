@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a row group of intermediate tables: writers and readers hold one at a time, so it stays small beside an executor's memory.
+ROW_GROUP = 16 << 20
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs one stage, not the whole job; the table goes when the application ends."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
