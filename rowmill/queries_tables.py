@@ -84,10 +84,10 @@ def ocf_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = _read(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"]).select((F.col("c_custkey") % 50).alias("k"))
-    return a, _read(spark, sf_dir, "supplier", ["s_suppkey"]).select((F.col("s_suppkey") * 3 % 70).alias("k"))
+    return a, _read(spark, sf_dir, "supplier", ["s_suppkey"]).select((F.col("s_suppkey") * 2 % 60).alias("k"))
 
 
-_A, _B = "SELECT c_custkey % 50 AS k FROM customer", "SELECT s_suppkey * 3 % 70 AS k FROM supplier"
+_A, _B = "SELECT c_custkey % 50 AS k FROM customer", "SELECT s_suppkey * 2 % 60 AS k FROM supplier"
 
 
 @query(f"{_A} EXCEPT {_B}")
