@@ -210,7 +210,10 @@ def corpus_findings(docs: DataFrame, *, texts: int, findings: int, longest: int
 
     rows = docs.count()
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, texts / max(1, rows)))
-    seen = docs.where(part).select("text").limit(2 * texts).mapInArrow(run, "y int, before string, body string, after string")
+    chosen = docs.where(part).select("text")
+    if docs.where(part).count() > 2 * texts:  # only where ids repeat much; a limit reads all in one task
+        chosen = chosen.limit(2 * texts)
+    seen = chosen.mapInArrow(run, "y int, before string, body string, after string")
     order = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("body", "before", "after"), "body", "before", "after"))
     found = sorted(tuple(r)[:4] for r in seen.withColumn("nth", order).where(F.col("nth") <= findings).collect())
     made = [shown(codes_of(before + body + after), len(before), len(before) + len(body)) for _, before, body, after in found]
