@@ -131,7 +131,10 @@ class ForcedBoundaryBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' names with spaces between them, as decode() of a file without a decoder gives; ids out of the vocabulary are skipped."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except (KeyError, IndexError):
+            return " ".join(self.names[i] for i in ids if i in self.names)
 
 
 @lru_cache(maxsize=2)
