@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.common import arrow_rows, one_thread
+from rowmill.llm.common import arrow_rows, one_thread, release
 from rowmill.llm.labelled import sample
 
-#: Examples of a block, blocks scored first, letters of a stem, words of a passage, passages of a text that are asked about, passages searched together,
+#: Examples of a block, blocks scored first, letters of a stem, words of a passage, passages of a text that are asked about first, passages searched together,
 #: and the share of examples from which a term's lists are dense.
 BLOCK, EARLY, STEM, WINDOW, ASKED, BATCH, DENSE = 64, 4, 5, 6, 4, 1024, 6
+#: Of votes in single precision: passages weighed together, terms with dense rows, halvings on the way to a bound of the k-th best cosine, and what no
+#: cosine (as a share of it) and no vote is off by.
+ROUGH, ROWS, HALVE, OFF, WRONG = 256, 64, 4, 4e-6, 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,6 +41,15 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - before, length)
 
 
+def _only(some: np.ndarray, total: int, window: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of some of `total` passages, which are numbered anew."""
+    number = np.full(total, -1)
+    number[some] = np.arange(len(some))
+    window = number[window]
+    here = window >= 0
+    return window[here], term[here], weight[here]
+
+
 def _alike(rows: np.ndarray) -> np.ndarray:
     """An order that puts alike rows side by side: halves by the strongest direction, down to a block."""
     todo, out = [np.arange(len(rows))], []
@@ -85,8 +97,10 @@ class BlockMaxIndex:
     weight (1 + log tf) * log((1 + n + s) / (df + s)), s a share of n, of length one. For a passage, the sum of a block's largest
     weights times the passage's is no less than any cosine in the block. The two blocks of the largest bounds
     are scored first; every other block whose bound reaches the k-th best cosine so far is scored too, and the rest
-    skipped, so the k nearest are exact. Of a text, those passages are asked whose mean cosine to all examples of label 1 exceeds
-    that to all of label 0 most, four at most; its features are their three strongest votes and the number of all its passages; a logistic function, fitted on the examples with each left out of its own votes, makes a score of them.
+    skipped, so the k nearest are exact. The features of a text are the three strongest votes of all its passages and their number. The four
+    passages are asked first whose mean cosine to all examples of label 1 exceeds that to all of label 0 most; all others vote by cosines in
+    single precision, and each that can be among the three strongest, by the errors these may have, is asked too, so the strongest votes are
+    exact. A logistic function, fitted on the examples with each left out of its own votes, makes a score of the features.
     """
 
     def __init__(self, texts: list[str], labels: list[int], ids: list[int] | None = None, k: int = 31, smooth: float = 0.06, odds: float = 1.0):
@@ -106,6 +120,7 @@ class BlockMaxIndex:
         term = np.array([self.vocabulary[t] for c in counts for t in c], np.int64)
         weight = (1 + np.log(np.array([f for c in counts for f in c.values()], float))) * idf[term]
         weight = weight / np.sqrt(np.bincount(row, weight * weight, minlength=n))[row]
+        del counts, df, first  # most of what the driver holds
 
         frequent = np.full(len(self.vocabulary) + 1, -1)
         top = np.argsort(-held, kind="stable")[:512]
@@ -129,6 +144,16 @@ class BlockMaxIndex:
         mean = [np.bincount(term, weight * (toxic == y)[row], minlength=len(self.vocabulary)) / max(1, (toxic == y).sum()) for y in (0, 1)]
         self.lean = mean[1] - mean[0]
         row, some = place[row], self.dense[term] >= 0
+        self.wide = -(-n // (1 << HALVE)) << HALVE
+        top = top[:ROWS]
+        self.row = np.full(len(self.vocabulary), -1)
+        self.row[top] = np.arange(len(top))
+        self.rows = np.zeros((len(top), self.wide), np.float32)
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], row[whole]] = weight[whole]
+        sort = np.flatnonzero(~whole)[np.argsort(term[~whole], kind="stable")]
+        self.at, self.light = row[sort], weight[sort].astype(np.float32)
+        self.postings = np.searchsorted(term[sort], np.arange(len(self.vocabulary) + 1))
         self.tiles[row[some] // BLOCK, self.dense[term[some]], row[some] % BLOCK] = weight[some]
         row, term, weight = row[~some], term[~some], weight[~some]
         sort = np.lexsort((row, term))
@@ -226,7 +251,7 @@ class BlockMaxIndex:
         return who[keep], place[keep], score[keep]
 
     def _asked(self, count: np.ndarray, window: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The passages that are asked about, by text: those that lean most to label 1, of equals the earlier."""
+        """The passages that are asked about first, by text: those that lean most to label 1, of equals the earlier."""
         total = int(count.sum())
         lean = np.bincount(window, weight * self.lean[term], minlength=total)
         of = np.repeat(np.arange(len(count)), count)
@@ -234,34 +259,113 @@ class BlockMaxIndex:
         nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
         return np.sort(order[nth < ASKED])
 
+    def _vote(self, toxic: np.ndarray, clean: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The vote of neighbours with these sums of cosines, `found` in all."""
+        toxic, clean = toxic / self.prior, clean / (1 - self.prior)
+        return toxic / np.maximum(toxic + clean, 1e-12) * found / self.k
+
+    def _rough(self, count: int, window: np.ndarray, term: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What the vote of each of `count` passages is at least and at most, from its cosines to all examples in single precision.
+
+        Halving the rows by maxima gives maxima of groups; the largest k + 1 of them are cosines of different examples, so the k + 1 largest
+        cosines are among those that reach the least of these. Where the k-th and the next are too close to tell, the bounds are wide.
+        """
+        least, most = np.zeros(count), np.zeros(count)
+        if not len(term) or not self.blocks:
+            return least, most
+        label, groups = (self.label == 1).astype(np.int32), self.wide >> HALVE
+        halves = [np.empty((ROUGH, self.wide >> j), np.float32) for j in range(HALVE + 1)]
+        hits, steps = np.empty((ROUGH, self.wide), bool), np.arange(1)
+        edge = np.searchsorted(window, np.arange(0, count + ROUGH, ROUGH))
+        for b, at in enumerate(range(0, count, ROUGH)):
+            size, part = min(ROUGH, count - at), slice(edge[b], edge[b + 1])
+            who, t, w = window[part] - at, term[part], weight[part].astype(np.float32)
+            row = self.row[t]
+            whole, light = row >= 0, row < 0
+            common = np.zeros((size, len(self.rows)), np.float32)
+            common[who[whole], row[whole]] = w[whole]
+            score = np.matmul(common, self.rows, out=halves[0][:size])
+            flat = score.reshape(-1)
+            who, t, w = who[light], t[light], w[light]
+            low = self.postings[t]
+            n = self.postings[t + 1] - low
+            before = np.cumsum(n) - n
+            entry = np.repeat(low - before, n)
+            if len(entry) > len(steps):
+                steps = np.arange(len(entry) * 5 // 4)
+                cell, cosine = np.empty(len(steps), np.int64), np.empty(len(steps), np.float32)
+            if len(entry):
+                entry += steps[: len(entry)]
+                cells = self.at.take(entry, out=cell[: len(entry)], mode="clip")
+                cells += np.repeat(who * self.wide, n)
+                cosines = self.light.take(entry, out=cosine[: len(entry)], mode="clip")
+                cosines *= np.repeat(w, n)
+                np.add.at(flat, cells, cosines)
+            if without is not None:
+                own = np.flatnonzero(without[at : at + size] >= 0)
+                score[own, without[at + own]] = 0
+            floor = np.full(size, 1e-30, np.float32)
+            if groups > self.k:
+                for whole, half in zip(halves, halves[1:]):
+                    np.maximum(whole[:size, : half.shape[1]], whole[:size, half.shape[1] :], out=half[:size])
+                floor = np.maximum(floor, np.partition(halves[-1][:size], groups - self.k - 1, axis=1)[:, groups - self.k - 1])
+            eight = np.greater_equal(score, floor[:, None], out=hits[:size]).reshape(-1).view(np.uint64)
+            some = np.flatnonzero(eight != 0)
+            hit = np.flatnonzero(eight[some].view(bool))
+            hit = some[hit >> 3] * 8 + (hit & 7)
+            who = hit // self.wide
+            n = np.bincount(who, minlength=size)
+            top = np.zeros((size, max(int(n.max()), self.k + 1)), np.int32)  # cosines' bits, which sort as they do; the last bit is the label
+            top[who, np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)] = flat[hit].view(np.int32) & -2 | label[hit - who * self.wide]
+            top = np.sort(top, axis=1)[:, -self.k - 1 :]
+            toxic, near = top[:, 1:] & 1, (top & -2).view(np.float32).astype(float)
+            found = np.count_nonzero(near[:, 1:], axis=1)
+            ones = (near[:, 1:] * toxic).sum(axis=1)
+            vote = self._vote(ones, near[:, 1:].sum(axis=1) - ones, found)
+            sure = (near[:, 0] == 0) | (near[:, 1] - near[:, 0] > OFF * near[:, 1])
+            least[at : at + size] = np.where(sure, np.maximum(vote - WRONG, 0), 0)
+            most[at : at + size] = np.where(sure & (found > 0), vote + WRONG, found / self.k)
+        return least, most
+
+    def _ask(self, asked: np.ndarray, total: int, window: np.ndarray, term: np.ndarray, weight: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The vote of each passage of `asked`, and pairs of its number there and an example near to it, nearest first."""
+        window, term, weight = _only(asked, total, window, term, weight)
+        vote, near = np.zeros(len(asked)), [np.empty((2, 0), np.int64)]
+        edge = np.searchsorted(window, np.arange(0, len(asked) + BATCH, BATCH))
+        for b, at in enumerate(range(0, len(asked), BATCH)):
+            size, part = min(BATCH, len(asked) - at), slice(edge[b], edge[b + 1])
+            who, place, cosine = self.neighbours(size, window[part] - at, term[part], weight[part], None if without is None else without[asked[at : at + size]])
+            toxic = np.bincount(who, cosine * self.label[place], minlength=size)
+            clean = np.bincount(who, cosine * (1 - self.label[place]), minlength=size)
+            vote[at : at + size] = self._vote(toxic, clean, np.bincount(who, minlength=size))
+            near.append(np.stack([who + at, self.example[place]]))
+        return vote, np.concatenate(near, axis=1)
+
     def _votes(self, texts: list[str | None], without: np.ndarray | None = None) -> tuple[np.ndarray, list[list[int]]]:
         """For each text its features, and as evidence the examples nearest to its strongest passage."""
-        count, window, term, weight = self.passages(texts)
-        asked = self._asked(count, window, term, weight)
-        number = np.full(int(count.sum()), -1)
-        number[asked] = np.arange(len(asked))
-        some = number[window] >= 0
-        window, term, weight = number[window[some]], term[some], weight[some]
-        of = np.repeat(np.arange(len(texts)), count)[asked]
-        total, each = len(asked), np.minimum(count, ASKED)
-        vote, near = np.zeros(total), [np.empty((2, 0), np.int64)]
-        edge = np.searchsorted(window, np.arange(0, total + BATCH, BATCH))
-        for b, at in enumerate(range(0, total, BATCH)):
-            size, part = min(BATCH, total - at), slice(edge[b], edge[b + 1])
-            who, place, cosine = self.neighbours(size, window[part] - at, term[part], weight[part], None if without is None else without[of[at : at + size]])
-            toxic = np.bincount(who, cosine * self.label[place], minlength=size) / self.prior
-            clean = np.bincount(who, cosine * (1 - self.label[place]), minlength=size) / (1 - self.prior)
-            found = np.bincount(who, minlength=size)
-            vote[at : at + size] = toxic / np.maximum(toxic + clean, 1e-12) * found / self.k
-            near.append(np.stack([who + at, self.example[place]]))
-        order = np.lexsort((np.arange(total), -vote, of))
+        count, *passage = self.passages(texts)
+        total, of = int(count.sum()), np.repeat(np.arange(len(texts)), count)
+        own = None if without is None else without[of]
+        first = self._asked(count, *passage)
+        vote, near = self._ask(first, total, *passage, own)
+        least, most = np.zeros(total), np.zeros(total)
+        rest = np.delete(np.arange(total), first)
+        least[rest], most[rest] = self._rough(len(rest), *_only(rest, total, *passage), None if own is None else own[rest])
+        least[first] = vote
+        begin, third = np.cumsum(count) - count, np.zeros(len(texts))
+        third[count > 2] = least[np.lexsort((-least, of))[begin[count > 2] + 2]]
+        more = rest[(most[rest] > 0) & (most[rest] >= third[of[rest]])]
+        vote_more, near_more = self._ask(more, total, *passage, own)
+        near_more[0] += len(first)
+        asked, vote, (who, example) = np.append(first, more), np.append(vote, vote_more), np.append(near, near_more, axis=1)
+        each = np.bincount(of[asked], minlength=len(texts))
+        order = np.lexsort((asked, -vote, of[asked]))
         begin = np.cumsum(each) - each
         top = np.zeros((len(texts), 3))
         for j in range(3):
             have = each > j
             top[have, j] = vote[order[begin[have] + j]]
-        who, example = np.concatenate(near, axis=1)
-        cut = np.searchsorted(who, np.arange(total + 1))
+        cut = np.searchsorted(who, np.arange(len(asked) + 1))
         best = [order[b] if n else -1 for b, n in zip(begin, each)]
         evidence = [example[cut[p] : cut[p + 1]].tolist() if p >= 0 else [] for p in best]
         return np.column_stack([np.log((top + 0.02) / (1.02 - top)), np.log1p(count)]), evidence
@@ -292,7 +396,9 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic: int = 700, clean: int =
     Scores are calibrated for the labels' own shares, a miss weighing as much as `miss` false alarms.
     """
     ids, texts, y, share = sample(docs, labels, "toxic", mod=3, held=1, per_class={0: clean, 1: toxic}, max_chars=max_chars)
-    return BlockMaxIndex(texts, y, ids, odds=miss * share / max(1e-9, 1 - share)) if texts else None
+    index = BlockMaxIndex(texts, y, ids, odds=miss * share / max(1e-9, 1 - share)) if texts else None
+    release()
+    return index
 
 
 def score(docs: DataFrame, index: BlockMaxIndex | None, *, threshold: float = 0.7) -> DataFrame:
@@ -300,7 +406,7 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, *, threshold: float = 0.
 
     Texts without words, null and empty ones among them, get the calibrated score of no passage; without
     examples every score is 0. Rows that repeat are scored each, null ids stay null, other columns are
-    ignored. Every passage of every whole text is compared with all examples' means; no shuffle.
+    ignored. Every passage of every whole text votes; no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -513,6 +513,51 @@ def test_neighbours_are_exact():
         assert index._asked(count, *passage).tolist() == first
 
 
+@pytest.mark.parametrize(("examples", "k"), [(700, 9), (700, 31), (40, 31)])
+def test_strongest_votes_are_of_all_passages(examples, k):
+    """No passage is left out: the features are those of a dense product over every passage, and so is the evidence; equal examples of both labels tie."""
+    rng = random.Random(examples + k)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    pick = lambda n: rng.choices(vocabulary, weights=[1 / (1 + j) for j in range(500)], k=n)
+    texts = [" ".join(pick(rng.randint(0, 150))) for _ in range(examples)]
+    labels = [j % 3 % 2 for j in range(examples)]
+    for j in range(0, 30, 6):
+        texts[j + 1] = texts[j]
+    index = toxicity.BlockMaxIndex(texts, labels, k=k)
+    place = np.full(examples, -1)
+    place[index.example] = np.arange(len(index.example))
+    n, v = len(index.example), index.vocabulary
+    dense = np.zeros((n, len(v)))
+    for row, i in enumerate(index.example):
+        for t, f in Counter(t for w in toxicity.words_of(texts[i]) for t in toxicity.terms_of(w)).items():
+            dense[row, v[t]] = (1 + math.log(f)) * index.idf[v[t]]
+    dense /= np.sqrt((dense * dense).sum(axis=1))[:, None]
+    asked = [*texts[:60], " ".join(pick(4000)), " ".join([*pick(6)] * 300), " ".join([*pick(600), *["unheardof"] * 40]), "the unknown", "", None]
+    beyond = 0
+    for left_out in (None, np.append(place[:60], [-1] * 6).astype(int)):
+        features, evidence = index._votes(asked, left_out)
+        for d, text in enumerate(asked):
+            count, window, term, weight = index.passages([text])
+            query = np.zeros((int(count.sum()), len(v)))
+            query[window, term] = weight
+            votes, near = [], []
+            for cosine in query @ dense.T:
+                if left_out is not None and left_out[d] >= 0:
+                    cosine[left_out[d]] = 0
+                best = [i for i in np.lexsort((np.arange(n), -np.round(cosine, 12)))[:k] if cosine[i] > 1e-15]
+                toxic, clean = (sum(cosine[i] for i in best if index.label[i] == y) / share for y, share in ((1, index.prior), (0, 1 - index.prior)))
+                votes.append(toxic / max(toxic + clean, 1e-12) * len(best) / k)
+                near.append([index.example[i] for i in best])
+            top = np.array([*sorted(votes, reverse=True), 0, 0, 0][:3])
+            assert np.allclose(features[d], [*np.log((top + 0.02) / (1.02 - top)), np.log1p(len(votes))], atol=1e-9)
+            if votes and max(votes) > 0:
+                assert evidence[d] in [e for e, x in zip(near, votes) if x > top[0] - 1e-9]
+            beyond += len(votes) > 4 and top[0] > max(votes[p] for p in index._asked(count, window, term, weight)) + 1e-6
+            least, most = index._rough(len(votes), window, term, weight, None if left_out is None else np.full(len(votes), left_out[d]))
+            assert (least <= votes).all() and (most >= votes).all()
+    assert beyond > 5
+
+
 def test_classifiers_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 1, None), (9, None, 1), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     for docs, n in ((awkward, len(AWKWARD)), (empty, 0)):
