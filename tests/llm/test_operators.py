@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -749,6 +750,31 @@ def test_neighbours_verify_a_part_of_the_vectors():
     assert hit > 0.9 and share < 0.5
 
 
+def test_neighbours_steps_do_not_follow_the_vectors():
+    """On evenly spread vectors the test leaves half of them to verify, so four times the vectors must not take four times the calls."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((8000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    calls, hit = [], []
+    for n in (2000, 8000):
+        index, count = ann.build(x[:n], [np.array([k]) for k in range(n)], 1.0 + 1e-12, 16), 0
+
+        def counted(frame, event, arg):
+            nonlocal count
+            count += event in ("call", "c_call")
+
+        before = sys.getprofile()
+        sys.setprofile(counted)
+        try:
+            found = list(ann.search(index, x[:40], 20, 16, 0.92))
+        finally:
+            sys.setprofile(before)
+        calls.append(count)
+        hit.append(np.mean([len(set(ids) & set(np.argsort(-(x[:n] @ x[q]), kind="stable")[:20])) / 20 for q, (ids, _, _) in enumerate(found)]))
+        assert all(abs(score[0] - 1) < 1e-12 and ids[0] == q for q, (ids, score, _) in enumerate(found))
+    assert min(hit) > 0.9 and calls[1] < 2 * calls[0]
+
+
 def test_neighbours_recall_on_the_table(spark):
     got = queries.op8_neighbours(spark, "/root/testdata/sf0.1").collect()
     t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
