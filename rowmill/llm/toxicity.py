@@ -19,15 +19,17 @@ from rowmill.llm.labelled import sample
 #: Examples of a block, blocks scored first, letters of a stem, words of a passage, passages of a text that are asked about first, passages searched together,
 #: and the share of examples from which a term's lists are dense.
 BLOCK, EARLY, STEM, WINDOW, ASKED, BATCH, DENSE = 64, 4, 5, 6, 4, 1024, 6
-#: Of votes in single precision: passages weighed together, terms with dense rows, halvings on the way to a bound of the k-th best cosine, and what no
-#: cosine (as a share of it) and no vote is off by.
-ROUGH, ROWS, HALVE, OFF, WRONG = 256, 64, 4, 4e-6, 2e-5
+#: Of votes in single precision: passages weighed together, postings a passage from which a term takes part in the product, halvings of the row to the
+#: number of groups that bound the k-th best cosine, and what no cosine (as a share of it) and no vote is off by.
+ROUGH, DEAR, HALVE, OFF, WRONG = 256, 6, 4, 4e-6, 2e-5
 _WORD = re.compile(r"[^\W\d_]+")
+_SPACED = "".join(c if c.isalpha() else " " for c in map(chr, range(128)))
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return low.translate(_SPACED).split() if low.isascii() else _WORD.findall(low)
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -77,10 +79,10 @@ class Words(dict):
         self.term, self.stem = array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
-        numbers = [self.vocabulary.get(t, -1) for t in terms_of(word)]
-        for k, t in enumerate(terms_of(word)):
-            if numbers[k] < 0:
-                numbers[k] = self.other.setdefault(t, len(self.vocabulary) + len(self.other))
+        numbers = []
+        for t in terms_of(word):
+            number = self.vocabulary.get(t)
+            numbers.append(self.other.setdefault(t, len(self.vocabulary) + len(self.other)) if number is None else number)
         self.term.append(numbers[0])
         self.stem.append(numbers[1] if len(numbers) > 1 else -1)
         self[word] = out = len(self)
@@ -97,10 +99,10 @@ class BlockMaxIndex:
     weight (1 + log tf) * log((1 + n + s) / (df + s)), s a share of n, of length one. For a passage, the sum of a block's largest
     weights times the passage's is no less than any cosine in the block. The two blocks of the largest bounds
     are scored first; every other block whose bound reaches the k-th best cosine so far is scored too, and the rest
-    skipped, so the k nearest are exact. The features of a text are the three strongest votes of all its passages and their number. The four
-    passages are asked first whose mean cosine to all examples of label 1 exceeds that to all of label 0 most; all others vote by cosines in
-    single precision, and each that can be among the three strongest, by the errors these may have, is asked too, so the strongest votes are
-    exact. A logistic function, fitted on the examples with each left out of its own votes, makes a score of the features.
+    skipped, so the k nearest are exact. The features of a text are the three strongest votes of all its passages and their number. All passages
+    are weighed by cosines in single precision, and those that can be among the three strongest, by the errors these may have, are asked, so the
+    strongest votes are exact. Of these, the four are asked first whose mean cosine to all examples of label 1 exceeds that to all of label 0
+    most, and then only those that still can be. A logistic function, fitted on the examples with each left out of its own votes, makes a score of the features.
     """
 
     def __init__(self, texts: list[str], labels: list[int], ids: list[int] | None = None, k: int = 31, smooth: float = 0.06, odds: float = 1.0):
@@ -143,17 +145,16 @@ class BlockMaxIndex:
         toxic = np.array([labels[i] for i in own], float)
         mean = [np.bincount(term, weight * (toxic == y)[row], minlength=len(self.vocabulary)) / max(1, (toxic == y).sum()) for y in (0, 1)]
         self.lean = mean[1] - mean[0]
-        row, some = place[row], self.dense[term] >= 0
+        row = place[row]
         self.wide = -(-n // (1 << HALVE)) << HALVE
-        top = top[:ROWS]
-        self.row = np.full(len(self.vocabulary), -1)
-        self.row[top] = np.arange(len(top))
+        self.row, self.usual = frequent, held[top]
         self.rows = np.zeros((len(top), self.wide), np.float32)
-        whole = self.row[term] >= 0
-        self.rows[self.row[term[whole]], row[whole]] = weight[whole]
-        sort = np.flatnonzero(~whole)[np.argsort(term[~whole], kind="stable")]
+        some = frequent[term] >= 0
+        self.rows[frequent[term[some]], row[some]] = weight[some]
+        sort = np.argsort(term, kind="stable")
         self.at, self.light = row[sort], weight[sort].astype(np.float32)
         self.postings = np.searchsorted(term[sort], np.arange(len(self.vocabulary) + 1))
+        some = self.dense[term] >= 0
         self.tiles[row[some] // BLOCK, self.dense[term[some]], row[some] % BLOCK] = weight[some]
         row, term, weight = row[~some], term[~some], weight[~some]
         sort = np.lexsort((row, term))
@@ -267,28 +268,40 @@ class BlockMaxIndex:
     def _rough(self, count: int, window: np.ndarray, term: np.ndarray, weight: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """What the vote of each of `count` passages is at least and at most, from its cosines to all examples in single precision.
 
-        Halving the rows by maxima gives maxima of groups; the largest k + 1 of them are cosines of different examples, so the k + 1 largest
-        cosines are among those that reach the least of these. Where the k-th and the next are too close to tell, the bounds are wide.
+        Of the frequent terms, those with most postings for the passages at hand are a product of dense rows. The largest k + 1 maxima of groups of
+        examples are cosines of different ones, so the k + 1 largest cosines are among those that reach the least of these. Where the k-th and the next are too close to tell, the bounds are wide.
         """
         least, most = np.zeros(count), np.zeros(count)
         if not len(term) or not self.blocks:
             return least, most
+        first = np.full(count, len(self.rows))  # passages of one most frequent term side by side, so that a product has few terms
+        here = self.row[term] >= 0
+        np.minimum.at(first, window[here], self.row[term[here]])
+        order = np.argsort(first, kind="stable")
+        begin, size = np.searchsorted(window, order), np.bincount(window, minlength=count)[order]
+        entry = _ranges(begin, size)
+        window, term, weight = np.repeat(np.arange(count), size), term[entry], weight[entry]
+        without = None if without is None else without[order]
         label, groups = (self.label == 1).astype(np.int32), self.wide >> HALVE
-        halves = [np.empty((ROUGH, self.wide >> j), np.float32) for j in range(HALVE + 1)]
+        scores, best = np.empty((ROUGH, self.wide), np.float32), np.empty((ROUGH, groups), np.float32)
         hits, steps = np.empty((ROUGH, self.wide), bool), np.arange(1)
         edge = np.searchsorted(window, np.arange(0, count + ROUGH, ROUGH))
+        held = np.diff(self.postings)
         for b, at in enumerate(range(0, count, ROUGH)):
             size, part = min(ROUGH, count - at), slice(edge[b], edge[b + 1])
             who, t, w = window[part] - at, term[part], weight[part].astype(np.float32)
             row = self.row[t]
+            often = np.flatnonzero(np.bincount(row[row >= 0], minlength=len(self.usual)) * self.usual > DEAR * size)
+            number = np.full(len(self.usual) + 1, -1)
+            number[often] = np.arange(len(often))
+            row = number[row]
             whole, light = row >= 0, row < 0
-            common = np.zeros((size, len(self.rows)), np.float32)
+            common = np.zeros((size, len(often)), np.float32)
             common[who[whole], row[whole]] = w[whole]
-            score = np.matmul(common, self.rows, out=halves[0][:size])
+            score = np.matmul(common, self.rows[often], out=scores[:size])
             flat = score.reshape(-1)
             who, t, w = who[light], t[light], w[light]
-            low = self.postings[t]
-            n = self.postings[t + 1] - low
+            low, n = self.postings[t], held[t]
             before = np.cumsum(n) - n
             entry = np.repeat(low - before, n)
             if len(entry) > len(steps):
@@ -306,9 +319,8 @@ class BlockMaxIndex:
                 score[own, without[at + own]] = 0
             floor = np.full(size, 1e-30, np.float32)
             if groups > self.k:
-                for whole, half in zip(halves, halves[1:]):
-                    np.maximum(whole[:size, : half.shape[1]], whole[:size, half.shape[1] :], out=half[:size])
-                floor = np.maximum(floor, np.partition(halves[-1][:size], groups - self.k - 1, axis=1)[:, groups - self.k - 1])
+                most_of = np.max(score.reshape(size, -1, groups), axis=1, out=best[:size])
+                floor = np.maximum(floor, np.partition(most_of, groups - self.k - 1, axis=1)[:, groups - self.k - 1])
             eight = np.greater_equal(score, floor[:, None], out=hits[:size]).reshape(-1).view(np.uint64)
             some = np.flatnonzero(eight != 0)
             hit = np.flatnonzero(eight[some].view(bool))
@@ -325,6 +337,7 @@ class BlockMaxIndex:
             sure = (near[:, 0] == 0) | (near[:, 1] - near[:, 0] > OFF * near[:, 1])
             least[at : at + size] = np.where(sure, np.maximum(vote - WRONG, 0), 0)
             most[at : at + size] = np.where(sure & (found > 0), vote + WRONG, found / self.k)
+        least[order], most[order] = least.copy(), most.copy()
         return least, most
 
     def _ask(self, asked: np.ndarray, total: int, window: np.ndarray, term: np.ndarray, weight: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -346,15 +359,20 @@ class BlockMaxIndex:
         count, *passage = self.passages(texts)
         total, of = int(count.sum()), np.repeat(np.arange(len(texts)), count)
         own = None if without is None else without[of]
-        first = self._asked(count, *passage)
+        least, most = self._rough(total, *passage, own)
+        begin = np.cumsum(count) - count
+
+        def able(some: np.ndarray) -> np.ndarray:
+            """Those of some passages that can be among the three strongest of their texts."""
+            third = np.zeros(len(texts))
+            third[count > 2] = least[np.lexsort((-least, of))[begin[count > 2] + 2]]
+            return some[(most[some] > 0) & (most[some] >= third[of[some]])]
+
+        some = able(np.arange(total))
+        first = some[self._asked(np.bincount(of[some], minlength=len(texts)), *_only(some, total, *passage))]
         vote, near = self._ask(first, total, *passage, own)
-        least, most = np.zeros(total), np.zeros(total)
-        rest = np.delete(np.arange(total), first)
-        least[rest], most[rest] = self._rough(len(rest), *_only(rest, total, *passage), None if own is None else own[rest])
         least[first] = vote
-        begin, third = np.cumsum(count) - count, np.zeros(len(texts))
-        third[count > 2] = least[np.lexsort((-least, of))[begin[count > 2] + 2]]
-        more = rest[(most[rest] > 0) & (most[rest] >= third[of[rest]])]
+        more = able(np.setdiff1d(some, first, assume_unique=True))
         vote_more, near_more = self._ask(more, total, *passage, own)
         near_more[0] += len(first)
         asked, vote, (who, example) = np.append(first, more), np.append(vote, vote_more), np.append(near, near_more, axis=1)

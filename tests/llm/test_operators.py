@@ -559,6 +559,27 @@ def test_strongest_votes_are_of_all_passages(examples, k):
     assert beyond > 5
 
 
+def test_only_strongest_passages_are_asked(monkeypatch):
+    """Every passage is weighed, but nearest examples are sought only for those that can be among a text's three strongest votes."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (1 + j) for j in range(500)], k=rng.randint(30, 300))) for _ in range(700)]
+    index = toxicity.BlockMaxIndex(texts, [j % 3 % 2 for j in range(700)])
+    sought, weighed, seek, weigh = [], [], index.neighbours, index._rough
+    monkeypatch.setattr(index, "neighbours", lambda count, *rest: sought.append(count) or seek(count, *rest))
+    monkeypatch.setattr(index, "_rough", lambda count, *rest: weighed.append(count) or weigh(count, *rest))
+    index._votes(texts[:100])
+    assert weighed == [sum(-(-len(toxicity.words_of(t)) // toxicity.WINDOW) for t in texts[:100])]
+    assert 300 <= sum(sought) < 320
+
+
+def test_words_are_runs_of_letters():
+    """The quicker way for ASCII texts finds the same words."""
+    every = [chr(c) for c in range(0x3000)]
+    for text in ("".join(every), "".join(every[:128]), " ".join(every), "a".join(every[:128]), "a".join(every), "", None):
+        assert toxicity.words_of(text) == toxicity._WORD.findall((text or "").lower())
+
+
 def test_classifiers_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 1, None), (9, None, 1), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     for docs, n in ((awkward, len(AWKWARD)), (empty, 0)):
